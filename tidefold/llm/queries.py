@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .minhash import near_duplicates
+from .repair import token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +18,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLE_SQL: dict[str, str] = {}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op4_mixing": op4_mixing, "op10_repair": op10_repair}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}

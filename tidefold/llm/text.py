@@ -164,3 +164,89 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(count)
     return np.arange(total) - np.repeat(ends - count - start, count)
+
+
+class HashMap:
+    """Open addressing from non-zero 64-bit keys to slots, with vectorised probes."""
+
+    def __init__(self, bits: int):
+        self.bits, self.mask = bits, U64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, U64)
+        self.used = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        slot = h & self.mask
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            s = slot[left]
+            k = self.keys[s]
+            hit = k == h[left]
+            out[left[hit]] = s[hit]
+            left = left[~hit & (k != 0)]
+            slot[left] = (slot[left] + U64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Slots of distinct keys that are not in the map yet."""
+        slot = h & self.mask
+        left = np.arange(len(h))
+        while len(left):
+            s = slot[left]
+            free = self.keys[s] == 0
+            self.keys[s[free]] = h[left[free]]  # of two keys for one slot the last stays
+            left = left[self.keys[s] != h[left]]
+            slot[left] = (slot[left] + U64(1)) & self.mask
+        self.used += len(h)
+        return slot.astype(np.int64)
+
+
+def nonzero(h: np.ndarray) -> np.ndarray:
+    return np.where(h == 0, U64(1), h)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one occurrence of each distinct value, the values), values ascending."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    return order[first], s[first]
+
+
+#: A space or line feed before one of these bytes begins a pre-token of byte-level BPE.
+SOLID = np.zeros(256, bool)
+SOLID[0x21:0x7F] = True
+SOLID[0xC3] = True
+
+
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+#: ASCII punctuation but for the apostrophe, which contractions begin with, and what special tokens like <|x|> hold.
+MARK = np.zeros(256, bool)
+MARK[0x21:0x7F] = True
+MARK[LETTER] = False
+MARK[0x30:0x3A] = MARK[[0x27, 0x3C, 0x3E, 0x7C]] = False
+
+
+def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): spans that cover all bytes and that byte-level BPE encodes independently of each other.
+
+    `first` are len(docs) + 1 offsets of each document's spans. The pre-tokenizer lets a white-space run keep
+    all but its last character, so the last one, if a space or line feed, always begins a new pre-token;
+    so does punctuation after a letter.
+    """
+    n = len(data)
+    at = np.zeros(n + 1, bool)
+    if n > 1:
+        at[: n - 1] = ((data[:-1] == 32) | (data[:-1] == 10)) & SOLID[data[1:]]
+        at[1:n] |= LETTER[data[:-1]] & MARK[data[1:]]
+    full = off[1:][np.diff(off) > 0]
+    last = full - 1
+    at[last[SPACE[data[last]]]] = False  # white space at a document's end goes with what it follows
+    at[off[:-1][np.diff(off) > 0]] = True
+    at[n] = False
+    start = np.flatnonzero(at)
+    end = np.append(start[1:], n) if len(start) else start
+    return start, end, np.searchsorted(start, off)
