@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .attribution import section_tokens
+from .classifier import quality_scores
 from .minhash import near_duplicates
+from .pii import find_pii
+from .quality import quality_rules
 from .repair import token_output
+from .substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +23,34 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op4_mixing": op4_mixing, "op10_repair": op10_repair}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_token_counts, op3_pii, op4_mixing, op7_fertility, op8_substring, op9_classifier, op10_repair)}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}
