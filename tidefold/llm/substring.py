@@ -101,9 +101,8 @@ def _merge(bits: int):
         by, value = own[hot], h[hot] & ~tx.U64(1)
         order = np.argsort(by, kind="stable")
         by, value = by[order], value[order]
-        edges = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
-        ends = np.append(edges[1:], len(by))
-        rows = [{"block": int(names[by[a]]), "hits": squeeze(value[a:b]), "h": None, "owners": None, "blocks": None} for a, b in zip(edges.tolist(), ends.tolist(), strict=True)]
+        edges = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+        rows = [{"block": int(names[by[a]]), "hits": squeeze(value[a:b]), "h": None, "owners": None, "blocks": None} for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         rows.append({"block": None, "hits": None, "h": squeeze(h), "owners": squeeze(own.astype(np.uint32)), "blocks": names.tolist()})
         out = pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("hits", pa.binary()), ("h", pa.binary()), ("owners", pa.binary()), ("blocks", pa.list_(pa.int64()))]))
         bucket = table.column("bucket")[0].as_py()
