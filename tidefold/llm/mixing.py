@@ -46,8 +46,10 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     carry: tuple[str, ...] = (),
+    columns: tuple[str, ...] = ("id", "size", "source_size", "target", "taken", "times"),
 ) -> DataFrame:
-    """(id, size, source_size, target, taken, times) for every row of docs, after the columns named in `carry`.
+    """(id, size, source_size, target, taken, times), or those of them in `columns`, for every row of docs; the docs
+    columns named in `carry` come before them as carried_0, carried_1, ..., so that no name can clash.
 
     Sources in order of code points, null last, weigh `weights` in turn. A source with target t takes all its
     documents floor(t / size) times, and once more those that come first by md5(seed:id) until their words
@@ -83,9 +85,8 @@ def mix_sources(
     ahead = F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     once_more = (F.col("rest") > 0) & (2 * ahead + F.col("size") <= 2 * F.col("rest"))
     out = out.withColumn("times", (F.col("whole") + once_more.cast("long")).cast("long"))
-    return out.select(
-        *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)), "id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"
-    )
+    out = out.withColumn("taken", F.col("size") * F.col("times"))
+    return out.select(*(f"carried_{k}" for k in range(len(carry))), *columns)
 
 
 ORACLE = """
@@ -118,3 +119,10 @@ SELECT doc_id, size, source_size, target,
        (whole + (rest > 0 AND 2 * ahead + size <= 2 * rest)::INT)::BIGINT AS times
 FROM r
 """
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as often as mix_sources takes it, with all their columns."""
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, carry=tuple(docs.columns), columns=("times",), **options)
+    again = mixed.where("times > 0").withColumn("repetition_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return again.select(*(F.col(f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -142,7 +142,8 @@ def _fragments(enc) -> np.ndarray:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, carry: tuple[str, ...] = (), special_as_text: bool = True) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_tokens, chars_per_token,
-    fallback_share, token_entropy, script) for every row of docs, after the columns in `carry`; one pass, no shuffle.
+    fallback_share, token_entropy, script) for every row of docs, after the columns in `carry` as carried_0, carried_1, ...;
+    one pass, no shuffle.
 
     base_failed: under 20 words, or over 30% of the words in 8-word windows that the text repeats. Otherwise a text
     is kept if its fertility lies within the band of its main script; one of under min_tokens tokens is kept.
@@ -172,3 +173,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     names = [c.split()[0] for c in schema.split(", ")]
     return src.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, special_as_text: bool = True) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns; no shuffle and no join."""
+    path, bands = vocabulary or default_vocabulary(), bands or BANDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, special_as_text)
+        fragment = _fragments(enc)
+        for batch in batches:
+            for part in tx.blocks(batch, text_col):
+                texts = part.column(part.schema.get_field_index(text_col))
+                base = base_measures(texts)
+                good = (base["n_words"] >= 20) & (100 * base["n_repeat_words"] <= 30 * base["n_words"])
+                part = part.filter(pa.array(good))
+                if part.num_rows:
+                    texts = part.column(part.schema.get_field_index(text_col))
+                    yield part.filter(pa.array(within_bands(fertility(texts, enc, fragment), bands)))
+
+    return docs.mapInArrow(run, docs.schema)
