@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .attribution import section_tokens
 from .classifier import quality_scores
+from .contextmix import score_texts
 from .decontamination import find_leaks
 from .minhash import near_duplicates
 from .pii import find_pii
@@ -41,6 +42,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op6_contextmix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -58,5 +63,5 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_token_counts, op3_pii, op4_mixing, op5_decontamination, op7_fertility, op8_substring, op9_classifier, op10_repair)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_token_counts, op3_pii, op4_mixing, op5_decontamination, op6_contextmix, op7_fertility, op8_substring, op9_classifier, op10_repair)}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}
