@@ -58,6 +58,9 @@ class VersionedStore:
             totals = totals.where(~F.coalesce(self.prune(F.col("key"), self.semigroup.present(F.col("total")), F.lit(at)), F.lit(False)))
         totals.write.mode("overwrite").parquet(self._folder(batch + 1))
         self.files.write(f"{self.path}/_meta/{batch + 1}.json", json.dumps({"version": batch + 1, "end_ms": self.batcher.earliest(batch + 1)}))
+
+    def expire(self) -> None:
+        """Delete all but the newest `keep` versions. merge() begins with it, as what it returns may read older ones."""
         for old in self.versions()[: -self.keep] if self.keep else []:
             self.files.delete(self._folder(old))
 
@@ -90,6 +93,7 @@ class VersionedStore:
         select: batches to write besides the last. Every snapshot holds all keys, those without new data carried forward.
         """
         s, batches = self.semigroup, self._batches(wanted)
+        self.expire()
         start = self._start(batches)
         upto = Batches(start, batches.last)
         known = None if start is None or start not in self.versions() else self.read_raw(start)
