@@ -36,7 +36,8 @@ class Semigroup:
         return self.agg(x, _same)
 
     def running(self, x: Column, window) -> Column:
-        return self.agg(x, lambda a: a.over(window))
+        """The aggregate over a window; null where it holds no element."""
+        return F.when(F.count(x).over(window) > 0, self.agg(x, lambda a: a.over(window)))
 
     def add(self, a: Column, b: Column) -> Column:
         return _either(self.plus)(a, b)
