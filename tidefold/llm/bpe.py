@@ -22,7 +22,7 @@ def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of whole texts. A cache of at most 2**BITS * FILL runs makes the library's work follow distinct runs."""
 
-    BITS, FILL = 22, 0.55
+    BITS, FILL = 21, 0.6
 
     def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -27,6 +27,8 @@ INDEX_BYTES = 8 << 20
 PIECE, PASSAGE, BLOCK = 48, 96, 16
 K1, B = 1.2, 0.75
 RUN = 3
+#: Passages whose terms are expanded at once, which bounds memory.
+AT_ONCE = 1024
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.5, 0.5
 #: ASCII letters and digits are words, as is all beyond ASCII; the rest separates them.
 FOLD = np.full(256, 32, np.uint8)
@@ -151,14 +153,20 @@ def retrieve(w: tx.Words, ix: Index, threshold: float = RETRIEVE) -> tuple[np.nd
     alive = np.flatnonzero(sums[end] - sums[start] + ix.spare >= threshold - 1e-9)
     if not len(alive):
         return none
-    doc, start, length = doc[alive], start[alive], (end - start)[alive]
-    passage = np.repeat(np.arange(len(alive)), length)
+    found = [_search(term, ix, threshold, doc[part], start[part], (end - start)[part]) for part in np.array_split(alive, -(-len(alive) // AT_ONCE))]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _search(term: np.ndarray, ix: Index, threshold: float, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """retrieve's other steps for some passages of a document, a start and a length each; term: of every word, or -1."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    passage = np.repeat(np.arange(len(doc)), length)
     t = term[tx.ranges(start, length)]
     key = np.sort((passage * len(ix.terms) + t)[t >= 0])
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     passage, t = key // len(ix.terms), key % len(ix.terms)
     # the same bound again, now with each term once
-    alive_ = np.bincount(passage, ix.top[t], minlength=len(alive)) + ix.spare >= threshold - 1e-9
+    alive_ = np.bincount(passage, ix.top[t], minlength=len(doc)) + ix.spare >= threshold - 1e-9
     passage, t = passage[alive_[passage]], t[alive_[passage]]
 
     def against(first: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, p: np.ndarray, t: np.ndarray, keep=None):

@@ -140,7 +140,7 @@ def _fragments(enc) -> np.ndarray:
     return out
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, carry: tuple[str, ...] = (), special_as_text: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, carry: tuple[str, ...] = (), special_as_text: bool = False) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_tokens, chars_per_token,
     fallback_share, token_entropy, script) for every row of docs, after the columns in `carry` as carried_0, carried_1, ...;
     one pass, no shuffle.
@@ -175,7 +175,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return src.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, special_as_text: bool = True) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, special_as_text: bool = False) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns; no shuffle and no join."""
     path, bands = vocabulary or default_vocabulary(), bands or BANDS
 

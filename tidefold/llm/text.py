@@ -23,7 +23,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; a longer document is handled alone.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 #: Documents handled at once; set_keys() needs at most 2**12.
 BLOCK_DOCS = 4096
 SET_BITS = U64(52)
