@@ -10,6 +10,7 @@ from .classifier import quality_scores
 from .contextmix import score_texts
 from .decontamination import find_leaks
 from .minhash import near_duplicates
+from .oracles import ORACLE_SQL  # noqa: F401
 from .pii import find_pii
 from .quality import quality_rules
 from .repair import token_output
@@ -64,4 +65,3 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_token_counts, op3_pii, op4_mixing, op5_decontamination, op6_contextmix, op7_fertility, op8_substring, op9_classifier, op10_repair)}
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}
