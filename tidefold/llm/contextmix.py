@@ -27,8 +27,8 @@ ORDERS = 5  #: orders 1 to 4, and the word so far
 #: Slots of the model, 8 bytes each: a fixed 32 MB, whatever the corpus. A slot keeps the context seen most.
 SLOT_BITS, PIECE_BITS = 22, 10
 COUNT_MAX = (1 << 24) - 1
-#: Entries that a task holds before it sends them.
-HELD = 3 << 20
+#: Entries that a task holds before it sends them, and bytes of text that are worked on at once.
+HELD, CHUNK = 2 << 20, 1 << 20
 LEVELS, MAP_CELLS, LIMIT, RATE = 8, 33, 11.0, 0.03
 GATE_SIZE = 8 * LEVELS * LEVELS
 _C = [tx.U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -50,27 +50,37 @@ class Stream:
         keep[last] = True
         self.data = data[keep]
         self.first = np.concatenate([[0], np.cumsum(keep)])[w.off]
-        self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def contexts(self) -> np.ndarray:
-        """Hashes (ORDERS x bytes), each with its low byte clear. Nothing before a document's start is seen."""
+    def sight(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each byte: the ORDERS - 1 bytes before it as a number, and a hash of its word so far. Nothing before a
+        document's start is seen."""
         s, n = self.data, len(self.data)
-        begin = self.first[:-1][self.doc]
-        pos = np.arange(n) - begin
-        out = np.zeros((ORDERS, n), tx.U64)
-        seen = np.zeros(n, tx.U64)
-        for j in range(1, ORDERS):
-            seen[j:] |= np.where(pos[j:] >= j, s[:-j], 0).astype(tx.U64) << tx.U64(8 * (j - 1))
-            out[j - 1] = tx.mix(seen + (tx.U64(j) << tx.U64(40)))
-        start = np.zeros(n, np.int64)
-        after = np.flatnonzero(s[:-1] == 32) + 1
-        start[after] = after
-        start = np.maximum(np.maximum.accumulate(start), begin)
+        begin = self.first[:-1]
+        wide = np.zeros(n + 4, np.uint32)
+        wide[4:] = s
+        seen = wide[3:-1] | (wide[2:-2] << np.uint32(8)) | (wide[1:-3] << np.uint32(16)) | (wide[:-4] << np.uint32(24))
+        for k in range(ORDERS - 1):
+            at = begin + k
+            at = at[at < n]
+            seen[at] &= np.uint32((1 << (8 * k)) - 1) if k else np.uint32(0)
+        head = np.zeros(n, bool)
+        head[1:] = s[:-1] == 32
+        head[begin[begin < n]] = True
+        start = np.flatnonzero(head)
+        length = np.diff(np.append(start, n))
         p, inv = tx.powers(n + 1)
-        sums = np.concatenate([[tx.U64(0)], np.cumsum(tx.TABLE[s] * p[:-1])])
-        at = np.arange(n)
-        out[ORDERS - 1] = tx.mix((sums[at] - sums[start]) * inv[start] + (at - start).astype(tx.U64) + (tx.U64(9) << tx.U64(40)))
-        return out & ~tx.U64(0xFF)
+        sums = np.cumsum(tx.TABLE[s] * p[:-1])
+        sums[1:] = sums[:-1]
+        sums[0] = 0
+        word = (sums - np.repeat(sums[start], length)) * np.repeat(inv[start], length)
+        word += (np.arange(n) - np.repeat(start, length)).astype(tx.U64)
+        return seen, word
+
+
+def contexts(seen: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes (ORDERS x cases) of what was seen, each with its low byte clear."""
+    last = [tx.mix((seen & np.uint32((1 << (8 * j)) - 1)).astype(tx.U64) + (tx.U64(j) << tx.U64(40))) for j in range(1, ORDERS)]
+    return np.stack([*last, tx.mix(word + (tx.U64(9) << tx.U64(40)))]) & ~tx.U64(0xFF)
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,26 +95,32 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[at], which, np.diff(np.append(at, len(s)))
 
 
-def _cases(s: Stream, rows: np.ndarray | None = None):
+def _cases(s: Stream):
     """Distinct (contexts, byte): (contexts of each, ascending keys with the byte lowest, which case each byte of the
-    stream is, times); rows: of these documents alone."""
-    ctx, data = s.contexts(), s.data
-    if rows is not None:
-        some = rows[s.doc]
-        ctx, data = ctx[:, some], data[some]
+    stream is, times)."""
+    (seen, word), data = s.sight(), s.data
     # the last four bytes and the word so far say all
-    key = (tx.mix(ctx[ORDERS - 2] + ctx[ORDERS - 1] * _C[0]) & ~tx.U64(0xFF)) | data
+    x = (word ^ (seen.astype(tx.U64) << tx.U64(32))) * _C[0]
+    x ^= x >> tx.U64(32)
+    key = ((x * _C[1]) & ~tx.U64(0xFF)) | data
     one, which, times = _grouped(key)
-    return ctx[:, one], key[one], which, times
+    return contexts(seen[one], word[one]), key[one], which, times
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, n = h[order], n[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     return h[at], np.add.reduceat(n, at) if len(h) else n
 
 
+def _chunks(rows: pa.RecordBatch, learnt) -> Iterator[pa.RecordBatch]:
+    """The documents of packed blocks whose fold is learnt from, some at a time."""
+    for k in range(rows.num_rows):
+        batch = unpack(rows.column(0)[k].as_py())
+        yield from tx.blocks(batch.filter(pa.array(learnt(np.asarray(batch.column(1))))), "text", CHUNK)
+
+
 def _count(bits: int, learnt):
     """(bucket, h, n) of a task's training documents: how often each byte followed each context."""
 
@@ -119,12 +135,8 @@ def _count(bits: int, learnt):
             return pa.RecordBatch.from_arrays(cols, names=["bucket", "h", "n"])
 
         for rows in batches:
-            for blob in rows.column(0).to_pylist():
-                batch = unpack(blob)
-                train = learnt(np.asarray(batch.column(1)))
-                if not train.any():
-                    continue
-                ctx, key, _, times = _cases(Stream(batch.column(2)), train)
+            for batch in _chunks(rows, learnt):
+                ctx, key, _, times = _cases(Stream(batch.column(2)))
                 own = [_summed(c | (key & tx.U64(0xFF)), times) for c in ctx]
                 hs, ns = hs + [x for x, _ in own], ns + [y for _, y in own]
                 if sum(map(len, hs)) > HELD:
@@ -152,15 +164,29 @@ def _reduce(shift: int):
     return run
 
 
-def _slots(ctx: np.ndarray, node: np.ndarray, piece_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, check) of a context after the bits that `node` spells."""
-    x = (ctx ^ (node * _C[1])) * _C[2]
+def _groups(ctx: np.ndarray, half: np.ndarray, piece_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, check) of the 16 neighbouring slots that serve four bits after a context: the first four of a byte where
+    half is 0, the others where it is 16 and the first four bits. The slot differs in its low bits by context, so
+    that contexts which share a group do not all begin at one slot; a node's slot is that xor its _place."""
+    x = (ctx ^ ((half + tx.U64(1)) * _C[1])) * _C[2]
     x ^= x >> tx.U64(29)
     x *= _C[0]
     low = tx.U64(SLOT_BITS - piece_bits)
     return ((ctx >> tx.U64(64 - piece_bits)) << low | (x >> (tx.U64(64) - low))).astype(np.int64), (x & tx.U64(0xFFFF)) | tx.U64(1)
 
 
+def _half(byte: np.ndarray, k: int) -> np.ndarray:
+    """Which four bits bit k is among, as _groups takes it."""
+    return np.zeros(len(byte), tx.U64) if k < 4 else tx.U64(16) + (byte >> tx.U64(4))
+
+
+def _place(byte: np.ndarray, k: int) -> np.ndarray:
+    """The slot within its group: a leading 1 and those of the four bits that are known."""
+    j = k % 4
+    known = (byte >> tx.U64(8 - k)) & tx.U64((1 << j) - 1)
+    return (known | tx.U64(1 << j)).astype(np.int64)
+
+
 def _piece(piece_bits: int):
     """The slots of one piece of the model from all counts whose contexts it holds."""
 
@@ -174,7 +200,8 @@ def _piece(piece_bits: int):
             # bytes ascend within a context, so nodes do too
             at = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (node[1:] != node[:-1])]))
             n1, both = np.add.reduceat(n * bit.astype(np.int64), at), np.add.reduceat(n, at)
-            slot, check = _slots(ctx[at], node[at], piece_bits)
+            slot, check = _groups(ctx[at], _half(byte[at], k), piece_bits)
+            slot ^= _place(byte[at], k)
             own.append(np.stack([slot, check.astype(np.int64), both - n1, n1]))
         slot, check, n0, n1 = np.concatenate(own, axis=1)
         order = np.lexsort((check, -(n0 + n1), slot))
@@ -202,17 +229,36 @@ def ready(table: np.ndarray) -> np.ndarray:
     return (table >> tx.U64(48)) << tx.U64(48) | q.astype(tx.U64) << tx.U64(32) | x.view(np.uint32)
 
 
-def _evidence(table: np.ndarray, ctx: np.ndarray, node: np.ndarray, piece_bits: int, left_out: np.ndarray | None):
-    """(log-odds, level) of one predictor, both 0 where its slot is another's. Where left_out gives the bits, the
-    slots hold counts and each bit's own is left out; else they are ready ones."""
-    slot, check = _slots(ctx, node, piece_bits)
-    v = table[slot]
-    v *= (v >> tx.U64(48)) == check
-    if left_out is None:
-        return (v & tx.U64(0xFFFFFFFF)).astype(np.uint32).view(np.float32), ((v >> tx.U64(32)) & tx.U64(0xFF)).astype(np.int64)
-    n0, n1 = _counts(v)
-    x, q = _odds(np.maximum(n0 - (1 - left_out), 0), np.maximum(n1 - left_out, 0))
-    return x, q.astype(np.int64)
+class Lookup:
+    """The evidence of all predictors for some cases, bit by bit; slots are found once for four bits. With left_out
+    the table holds counts and each bit's own is left out of them; else it holds ready slots."""
+
+    def __init__(self, table: np.ndarray, ctx: np.ndarray, byte: np.ndarray, piece_bits: int, left_out: bool):
+        self.table, self.ctx, self.byte, self.piece_bits, self.left_out = table, ctx, byte, piece_bits, left_out
+
+    def bit(self, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """(inputs, gates, bits) of bit k for the cases `at`; a predictor whose slots are another's gives 0 at level 0."""
+        if k % 4 == 0:
+            half = _half(self.byte, k)
+            self.groups = [_groups(c, half, self.piece_bits) for c in self.ctx]
+        byte = self.byte if at is None else self.byte[at]
+        place = _place(byte, k)
+        bit = ((byte >> tx.U64(7 - k)) & tx.U64(1)).astype(np.float32)
+        x = np.ones((len(byte), ORDERS + 1), np.float32)
+        level = []
+        for o, (first, check) in enumerate(self.groups):
+            if at is not None:
+                first, check = first[at], check[at]
+            v = self.table[first ^ place]
+            v *= (v >> tx.U64(48)) == check
+            if self.left_out:
+                n0, n1 = _counts(v)
+                x[:, o], q = _odds(np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0))
+                level.append(q.astype(np.int64))
+            else:
+                x[:, o] = v.astype(np.uint32).view(np.float32)
+                level.append(((v >> tx.U64(32)) & tx.U64(0xFF)).astype(np.int64) if o else None)  # no gate asks order 1
+        return x, Mixer.gates(level, k), bit
 
 
 class Mixer:
@@ -226,7 +272,7 @@ class Mixer:
             self.weights[:, :, ORDERS] = 0
             self.map = np.zeros((2, 8, MAP_CELLS))
         else:
-            self.weights = state[: self.size].reshape(2, GATE_SIZE, ORDERS + 1)
+            self.weights = state[: self.size].reshape(2, GATE_SIZE, ORDERS + 1).astype(np.float32)
             self.map = state[self.size :].reshape(2, 8, MAP_CELLS)
 
     def state(self) -> np.ndarray:
@@ -277,32 +323,18 @@ class Mixer:
         np.clip(self.weights, -4, 4, out=self.weights)
 
 
-def _inputs(table: np.ndarray, ctx: np.ndarray, byte: np.ndarray, k: int, piece_bits: int, left_out: bool):
-    node = (tx.U64(1) << tx.U64(k)) | (byte >> tx.U64(8 - k))
-    bit = ((byte >> tx.U64(7 - k)) & tx.U64(1)).astype(np.float32)
-    x = np.ones((len(byte), ORDERS + 1), np.float32)
-    level = []
-    for o in range(ORDERS):
-        x[:, o], q = _evidence(table, ctx[o], node, piece_bits, bit if left_out else None)
-        level.append(q)
-    return x, Mixer.gates(level, k), bit
-
-
 def _fit(model, piece_bits: int, learnt):
     """(weight, state) of a task: its own online run over the fitting fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, seen, table = Mixer(), 0, model.value
         for rows in batches:
-            for blob in rows.column(0).to_pylist():
-                batch = unpack(blob)
-                fold = learnt(np.asarray(batch.column(1)))
-                if not fold.any():
-                    continue
-                ctx, key, _, times = _cases(Stream(batch.column(2)), fold)
+            for batch in _chunks(rows, learnt):
+                ctx, key, _, times = _cases(Stream(batch.column(2)))
                 byte = key & tx.U64(0xFF)
+                lookup = Lookup(table, ctx, byte, piece_bits, True)
                 for k in range(8):
-                    x, g, bit = _inputs(table, ctx, byte, k, piece_bits, True)
+                    x, g, bit = lookup.bit(k)
                     mixer.learn(x, g, k, bit, times.astype(np.float64))
                 seen += int(times.sum())
         if seen:
@@ -319,11 +351,12 @@ def _log10(table: np.ndarray, mixer: Mixer, ctx: np.ndarray, key: np.ndarray, pi
         part = slice(a, a + (1 << 16))
         own, keys = ctx[:, part], key[part]
         byte = keys & tx.U64(0xFF)
+        lookup = Lookup(table, own, byte, piece_bits, False)
         for k in range(8):
             so_far = keys >> tx.U64(8 - k)
             head = np.concatenate([[True], so_far[1:] != so_far[:-1]])
             at = np.flatnonzero(head)
-            x, g, _ = _inputs(table, own[:, at], byte[at], k, piece_bits, False)
+            x, g, _ = lookup.bit(k, at)
             p = mixer.refine(mixer.logit(x, g), k)
             each = np.repeat(np.log10(np.stack([1 - p, p])), np.diff(np.append(at, len(keys))), axis=1)
             out[part] += np.where((byte >> tx.U64(7 - k)) & tx.U64(1) > 0, each[1], each[0])
@@ -351,12 +384,15 @@ def _tell(table: pa.Table) -> pa.Table:
 
 
 def _score(model, state: np.ndarray, piece_bits: int, bits: int, total: int, distinct: int, ends: int, batch: pa.RecordBatch, counts: list | None) -> pa.RecordBatch:
-    s = Stream(batch.column(2))
-    n, w = batch.num_rows, s.words
-    mixer = Mixer(state)
-    ctx, key, which, _ = _cases(s)
-    each = _log10(model.value, mixer, ctx, key, piece_bits)
-    score = np.bincount(s.doc, weights=each[which], minlength=n)
+    n, w = batch.num_rows, tx.words(batch.column(2), lower=True)
+    mixer, scores, sizes = Mixer(state), [], []
+    for part in tx.blocks(batch, "text", CHUNK):
+        s = Stream(part.column(2))
+        ctx, key, which, _ = _cases(s)
+        sums = np.concatenate([[0.0], np.cumsum(_log10(model.value, mixer, ctx, key, piece_bits)[which])])
+        scores.append(sums[s.first[1:]] - sums[s.first[:-1]])
+        sizes.append(np.diff(s.first))
+    score, size = np.concatenate(scores), np.concatenate(sizes)
     known = np.full(n, int(ends > 0))
     base = np.full(n, np.log10((ends + 1) / (total + distinct + 1)))
     if len(w.hash):
@@ -366,7 +402,6 @@ def _score(model, state: np.ndarray, piece_bits: int, bits: int, total: int, dis
         doc = w.doc
         known = known + np.bincount(doc[c > 0], minlength=n)
         base = base + np.bincount(doc, weights=np.log10((c + 1) / (total + distinct + 1)), minlength=n)
-    size = np.diff(s.first)
     cols = [batch.column(0), pa.array(w.count + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / size)]
     return pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
