@@ -27,11 +27,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidefold-{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df as written to the shared folder and read again: a lost executor costs no recomputation."""
+def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df as written to the shared folder, in folders by a column if given, and read again: a lost executor costs no
+    recomputation."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidefold_path = path
     return out
