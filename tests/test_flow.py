@@ -77,7 +77,7 @@ def test_record_granularity_telescopes(spark):
 
 def test_python_semigroup(spark):
     rows = [(1, 0, 1, 6), (2, 1, 1, 3), (11, 2, 1, 4)]
-    got = {(r["key"], r["batch_id"]): r["delta"] for r in deltas(flow(spark, rows).df, TEN, sg.custom("xor", lambda a, b: int(a) ^ int(b))).collect()}
+    got = {(r["key"], r["batch_id"]): r["delta"] for r in flow(spark, rows).sums(TEN, sg.custom("xor", lambda a, b: int(a) ^ int(b), "long")).collect()}
     assert got == {(1, 0): 5, (1, 1): 4}
 
 

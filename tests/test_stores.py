@@ -5,14 +5,14 @@ from tidefold.functions import semigroup as sg
 from tidefold.functions import time as tm
 from tidefold.functions.time import Interval
 from tidefold.operators.flow import Flow
-from tidefold.operators.sink import BatchedSink, ConvertedSink, FunctionSink, NoSink
+from tidefold.operators.sink import BatchedSink, ConvertedSink, EpochSink, FunctionSink, NoSink
 from tidefold.operators.store import NothingToDo, VersionedStore
 from tidefold.plans.counters import Counters
 from tidefold.plans.job import Job, dot, main
 from tidefold.plans.state import CheckpointState, Refused
 from tidefold.sources import files
 from tidefold.streaming import client
-from tidefold.streaming.stream import DeltaStore, EpochSink, presenting, start_sum
+from tidefold.streaming.stream import DeltaStore, presenting, start_sink, start_sum
 
 B20 = tm.FixedBatcher(20)
 SCHEMA = "ts_ms long, seq long, key long, value long"
@@ -129,10 +129,10 @@ def test_job_command_line_and_failure(spark, tmp_path):
 
 
 def test_sources_give_what_they_have(spark, tmp_path):
-    s = files.Source(lambda sp: numbers(sp), "ts_ms", "bigint", available=Interval(0, 50))
+    s = files.Source(lambda sp, _: numbers(sp), "ts_ms", "bigint", available=Interval(0, 50))
     assert s.frame(spark, Interval(10, 80)).count() == 40
     assert s.satisfiable(Interval(60, 80)).empty
-    exact = files.Source(lambda sp: numbers(sp), "ts_ms", "bigint", available=Interval(0, 50), exact=True)
+    exact = files.Source(lambda sp, _: numbers(sp), "ts_ms", "bigint", available=Interval(0, 50), exact=True)
     with pytest.raises(ValueError):
         exact.frame(spark, Interval(10, 80))
     assert s.mapped(lambda d: d.where("key = 1")).frame(spark).count() == 33
@@ -194,7 +194,7 @@ def test_stream_and_batch_agree_at_every_split(spark, tmp_path, parts):
     assert published[-1] == model(100)
     want = {(r["key"], r["batch_id"]): r["delta"] for r in Flow(df).sums(B20, sg.sum_).collect()}
     assert {(r["key"], r["batch_id"]): r["delta"] for r in online.read().collect()} == want
-    epochs = online.epochs()
+    epochs = [e for _, e in online.epochs()]
     online.add(df.where(F.col("seq") % parts == parts - 1) if parts > 1 else df, epochs[-1])  # the last micro-batch again
     online.compact()
     assert {(r["key"], r["batch_id"]): r["delta"] for r in online.read().collect()} == want
@@ -209,7 +209,7 @@ def test_one_program_on_both_platforms(spark, tmp_path):
     store = DeltaStore(spark, f"{tmp_path}/store", B20, sg.count)
     program = lambda f: Flow.source(f["n"], "ts_ms", "value", "key", "seq", ts_type="bigint").filter(lambda v: v % 2 == 0).sum_by_key(store)
     stream = files.stream(f"{tmp_path}/in", SCHEMA, "ts_ms", ts_type="bigint", seq="seq")
-    batch = files.Source(lambda sp: sp.read.parquet(f"{tmp_path}/in"), "ts_ms", "bigint", "seq")
+    batch = files.Source(lambda sp, _: sp.read.parquet(f"{tmp_path}/in"), "ts_ms", "bigint", "seq")
     job = Job(program, {"n": batch}, {"n": stream})
     for q in job.start(spark, f"{tmp_path}/check", available_now=True):
         q.awaitTermination()
@@ -218,5 +218,5 @@ def test_one_program_on_both_platforms(spark, tmp_path):
     store = store2
     job.run(spark, Interval())
     assert sorted(store2.read().collect()) == streamed
-    EpochSink(f"{tmp_path}/sink").start(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/check2", True).awaitTermination()
+    start_sink(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), EpochSink(f"{tmp_path}/sink"), f"{tmp_path}/check2", True).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/sink").count() == 100

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ class Semigroup:
     lift: Callable[[Column, Column, Column], Column] = lambda v, ts, seq: v  #: (value, ts_ms, seq) -> element
     present: Callable[[Column], Column] = _same
     commutative: bool = True
-    python: Callable | None = None  #: a fold of Python values, for custom()
+    python: Callable | None = None  #: of two Python values, for custom()
+    sketch: Callable[[Column], Column] | None = None  #: an aggregate from values to an element, where no one value has its own
+    by_entry: bool = False  #: elements are maps of numbers, whose entries can be summed each by itself
 
     def total(self, x: Column) -> Column:
         """The aggregate of a group's elements; null elements don't count."""
@@ -73,9 +76,9 @@ def _stamped(v: Column, ts: Column, seq: Column) -> Column:
 
 first = Semigroup("first", _min, F.least, _stamped, lambda x: x["v"], commutative=False)
 last = Semigroup("last", _max, F.greatest, _stamped, lambda x: x["v"], commutative=False)
-#: Values are arrays; the union has no order of its own, so it is kept sorted.
-set_union = Semigroup("set_union", lambda x, o: F.array_sort(F.array_distinct(F.flatten(o(F.collect_list(x))))), lambda a, b: F.array_sort(F.array_union(a, b)), lambda v, ts, seq: F.array_sort(F.array_distinct(v)))
-set_of = Semigroup("set_of", lambda x, o: F.array_sort(F.array_distinct(F.flatten(o(F.collect_list(x))))), lambda a, b: F.array_sort(F.array_union(a, b)), lambda v, ts, seq: F.array(v))
+#: Values are arrays; the union has no order of its own, so it is kept sorted. Equal arrays meet once on the map side.
+set_union = Semigroup("set_union", lambda x, o: F.array_sort(F.array_distinct(F.flatten(o(F.collect_set(x))))), lambda a, b: F.array_sort(F.array_union(a, b)), lambda v, ts, seq: F.array_sort(F.array_distinct(v)))
+set_of = Semigroup("set_of", lambda x, o: F.array_sort(F.array_distinct(F.flatten(o(F.collect_set(x))))), lambda a, b: F.array_sort(F.array_union(a, b)), lambda v, ts, seq: F.array(v))
 #: Values of equal (ts_ms, seq) come in order of value.
 list_concat = Semigroup(
     "list_concat",
@@ -92,24 +95,54 @@ average = Semigroup(
     lambda v, ts, seq: F.struct(v.alias("s"), F.lit(1).cast("long").alias("n")),
     lambda x: x["s"] / x["n"],
 )
-approx_distinct = Semigroup("approx_distinct", lambda x, o: o(F.hll_union_agg(x)), lambda a, b: F.hll_union(a, b), lambda v, ts, seq: v, lambda x: F.hll_sketch_estimate(x))
+#: Values are HyperLogLog sketches, presented as their estimate.
+approx_distinct = Semigroup("approx_distinct", lambda x, o: o(F.hll_union_agg(x)), lambda a, b: F.hll_union(a, b), present=lambda x: F.hll_sketch_estimate(x), sketch=lambda v: F.hll_sketch_agg(v))
+#: Values are whole numbers; a total is a KLL sketch, presented as (0.25, 0.5, 0.75)-quantiles, each within about 1.3 %.
+quantiles = Semigroup(
+    "quantiles",
+    lambda x, o: o(F.kll_merge_agg_bigint(x)),
+    lambda a, b: F.kll_sketch_merge_bigint(a, b),
+    present=lambda x: F.kll_sketch_get_quantile_bigint(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))),
+    sketch=lambda v: F.kll_sketch_agg_bigint(v),
+)
 
 
 def _merged_maps(x: Column, o: Callable) -> Column:
-    """Maps of numbers, added by key."""
-    entries = F.flatten(o(F.collect_list(F.map_entries(x))))
-    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
-    return F.transform_values(F.map_from_arrays(keys, keys), lambda k, _: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("long"), lambda a, e: a + e["value"].cast("long")))
+    """Maps of numbers, added by key, one after the other."""
+    each = o(F.collect_list(x))
+    return F.reduce(F.slice(each, 2, F.greatest(F.size(each) - 1, F.lit(0))), F.get(each, F.lit(0)), _add_maps)
+
+
+def _add_maps(a: Column, b: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
+
+
+#: Values are maps to long. An empty map is an element like any other, so its key survives. The sums of a batch's entries
+#: are taken by (key, map key), on the map side first; a total lists few keys.
+map_sum = Semigroup("map_sum", _merged_maps, _add_maps, lambda v, ts, seq: F.transform_values(v, lambda k, x: x.cast("long")), by_entry=True)
+
+
+def frequencies(buckets: int = 1024, rows: int = 4) -> Semigroup:
+    """Count-min: how often each value came, at most; a total is a map from row * buckets + bucket to a count. Ask it with
+    frequency_of()."""
 
+    def lift(v: Column, ts: Column, seq: Column) -> Column:
+        cells = F.array(*(F.lit(r * buckets).cast("long") + F.pmod(F.xxhash64(v.cast("string"), F.lit(r)), F.lit(buckets)) for r in range(rows)))
+        return F.map_from_arrays(cells, F.transform(cells, lambda _: F.lit(1).cast("long")))
 
-#: Values are maps to long. An empty map is an element like any other, so its key survives. A total lists few keys;
-#: for maps with many, flat_map_values and a sum by (key, map key) is the plan that scales.
-map_sum = Semigroup("map_sum", _merged_maps, lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0).cast("long")) + F.coalesce(y, F.lit(0).cast("long"))), lambda v, ts, seq: F.transform_values(v, lambda k, x: x.cast("long")))
+    return Semigroup("frequencies", _merged_maps, _add_maps, lift, by_entry=True)
+
+
+def frequency_of(total: Column, v: Column, buckets: int = 1024, rows: int = 4) -> Column:
+    """What frequencies(buckets, rows) says of a value: never less than its count."""
+    cells = [F.lit(r * buckets).cast("long") + F.pmod(F.xxhash64(v.cast("string"), F.lit(r)), F.lit(buckets)) for r in range(rows)]
+    return F.least(*(F.coalesce(F.try_element_at(total, c), F.lit(0).cast("long")) for c in cells))
 
 
 def option(s: Semigroup) -> Semigroup:
     """Values that may be missing: none + x is x. All aggregates ignore null already."""
-    return Semigroup(f"option({s.name})", s.agg, s.add, s.lift, s.present, s.commutative)
+    return Semigroup(f"option({s.name})", s.agg, s.add, s.lift, s.present, s.commutative, s.python, s.sketch, s.by_entry)
 
 
 def tuple_of(**parts: Semigroup) -> Semigroup:
@@ -142,6 +175,20 @@ def fold(name: str, plus: Callable[[Column, Column], Column], commutative: bool
     return Semigroup(name, agg, two, _stamped, lambda x: x["v"], commutative)
 
 
-def custom(name: str, python: Callable, commutative: bool = False) -> Semigroup:
-    """An associative Python function of two values; the slow path, one key's values of a batch at a time."""
-    return Semigroup(name, _max, F.greatest, commutative=commutative, python=python)
+def custom(name: str, python: Callable, kind: str, commutative: bool = False) -> Semigroup:
+    """An associative Python function of two values of the Spark type `kind`, applied in order of (ts_ms, seq); the slow
+    path. The values of a key and batch meet in one array; if `commutative`, each task adds up its own first."""
+
+    def folded(values):
+        known = [v for v in values or () if v is not None]
+        return reduce(python, known) if known else None
+
+    fold_all = F.udf(folded, kind)
+
+    def of(elements: Column) -> Column:
+        ordered = F.array_sort(F.array_compact(elements))
+        newest = F.element_at(ordered, F.lit(-1))
+        whole = F.struct(newest["ts_ms"].alias("ts_ms"), newest["seq"].alias("seq"), fold_all(F.transform(ordered, lambda e: e["v"])).alias("v"))
+        return F.when(F.size(ordered) > 0, whole)
+
+    return Semigroup(name, lambda x, o: of(o(F.collect_list(x))), lambda a, b: of(F.array(a, b)), _stamped, lambda x: x["v"], commutative, python)

@@ -13,8 +13,13 @@ from ..sources.files import Files
 
 class Sink:
     def write(self, df: DataFrame, wanted: Interval) -> DataFrame:
+        """In a batch run: the rows of an interval."""
         raise NotImplementedError
 
+    def add(self, df: DataFrame, writer: str, epoch: int) -> DataFrame:
+        """In a stream: the rows of a micro-batch, which may come again."""
+        return self.write(df, Interval())
+
 
 class BatchedSink(Sink):
     """Rows under path/data/batch_id=<b>. Batches that are there already are read back; only the others are
@@ -37,6 +42,9 @@ class BatchedSink(Sink):
                 self.files.write(f"{self.path}/done/{b}")
         return self.read(wanted, df.schema)
 
+    def add(self, df: DataFrame, writer: str, epoch: int) -> DataFrame:
+        raise TypeError("batches of a stream are never complete: give it an EpochSink, or a Pair of sinks")
+
     def read(self, wanted: Interval, schema) -> DataFrame:
         """What the sink holds of an interval, as a stream of rows that a service can serve."""
         names = [f.name for f in schema.fields]
@@ -47,6 +55,54 @@ class BatchedSink(Sink):
         return held.where(batches.condition()).select(*names)
 
 
+class EpochSink(Sink):
+    """Rows under path/writer=<source>/epoch=<micro-batch>, replaced when a micro-batch is run again; a batch run replaces
+    what it wrote of the same interval."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def write(self, df: DataFrame, wanted: Interval) -> DataFrame:
+        return self.add(df, f"batch_{wanted.lower}_{wanted.upper}", 0)
+
+    def add(self, df: DataFrame, writer: str, epoch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/writer={writer}/epoch={epoch}")
+        return df
+
+    def folders(self, spark: SparkSession) -> list[str]:
+        files = Files(spark)
+        each = [f"{self.path}/{w}/{e}" for w in files.names(self.path) if w.startswith("writer=") for e in files.names(f"{self.path}/{w}")]
+        return [f for f in each if files.exists(f"{f}/_SUCCESS")]
+
+
+class Buffer(EpochSink):
+    """A sink of (ts_ms, seq, key, value) that is read back whole, to be joined with."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(path)
+        self.spark = spark
+
+    def log(self, schema) -> DataFrame:
+        """All rows so far; a null value deletes."""
+        found = self.folders(self.spark)
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+
+class StoreSink(Sink):
+    """Puts (key, value) into a DeltaStore, whose semigroup says what becomes of several; sg.last keeps the newest."""
+
+    def __init__(self, store):
+        self.store = store
+
+    def write(self, df: DataFrame, wanted: Interval) -> DataFrame:
+        self.store.merge(df, wanted)
+        return df
+
+    def add(self, df: DataFrame, writer: str, epoch: int) -> DataFrame:
+        self.store.add(df, epoch, writer)
+        return df
+
+
 class OfflineSink(Sink):
     """Writes rows without their time; never read back."""
 
@@ -83,3 +139,7 @@ class ConvertedSink(Sink):
     def write(self, df: DataFrame, wanted: Interval) -> DataFrame:
         self.sink.write(self.convert(df), wanted)
         return df
+
+    def add(self, df: DataFrame, writer: str, epoch: int) -> DataFrame:
+        self.sink.add(self.convert(df), writer, epoch)
+        return df

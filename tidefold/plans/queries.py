@@ -155,7 +155,7 @@ def also_two_stores(spark, d):
         by_type = Flow.source(frames["events"], "ts_ms", F.lit(1), key="event_type", ts_type="bigint")
         return by_user.sum_by_key(stores["user"]).also(by_type.sum_by_key(stores["type"]))
 
-    Job(program, {"events": Source(lambda s: _table(s, d, "events"), "ts")}).run(spark, tm.Interval())
+    Job(program, {"events": Source(lambda s, _: _table(s, d, "events"), "ts")}).run(spark, tm.Interval())
     each = [s.totals(0).select(F.lit(n).alias("store"), F.col("key").cast("string").alias("key"), F.col("value").alias("total")) for n, s in stores.items()]
     return each[0].unionByName(each[1])
 
@@ -292,9 +292,7 @@ def ordered_fold(spark, d):
 
 @query(E_SQL + " SELECT key, day AS batch_id, CAST(bit_xor(cents) AS BIGINT) AS x FROM e GROUP BY key, day")
 def python_semigroup(spark, d):
-    from ..operators.summing import deltas
-
-    return deltas(events(spark, d).df, DAY, sg.custom("xor", _xor)).select("key", "batch_id", F.col("delta").alias("x"))
+    return events(spark, d).sums(DAY, sg.custom("xor", _xor, "long", commutative=True)).select("key", "batch_id", F.col("delta").alias("x"))
 
 
 def _xor(a, b):
@@ -360,7 +358,7 @@ def batched_sink(spark, d):
 def checkpointed_job(spark, d):
     """Three runs of five days each, every one begun where the last token ends."""
     store = VersionedStore(spark, shared_path(spark, "job"), DAY, sg.sum_, initial_batch=0)
-    job = Job(lambda f: Flow.source(f["events"], "ts_ms", cents(), key="user_id", seq="event_id", ts_type="bigint").sum_by_key(store), {"events": Source(lambda s: _table(s, d, "events"), "ts", seq="event_id")})
+    job = Job(lambda f: Flow.source(f["events"], "ts_ms", cents(), key="user_id", seq="event_id", ts_type="bigint").sum_by_key(store), {"events": Source(lambda s, _: _table(s, d, "events"), "ts", seq="event_id")})
     path, start = shared_path(spark, "state"), 19723 * tm.DAY
     for k in range(3):
         done = job.run_next(spark, CheckpointState(spark, path, DAY, start if not k else None, 5))
