@@ -37,10 +37,11 @@ from .exchange import BUCKET_ENTRIES, of_blocks, split_at, squeeze, stretch, unp
 from .scratch import cut, drop
 
 ORDERS = 5  #: the last 2, 3 and 4 bytes, the word so far, and that within a class
-MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 22
-COUNT_MAX = (1 << 24) - 1
+MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 23
 #: Entries that a task holds before it sends them, and bytes of words that are spelt at once.
 HELD, PART = 2 << 20, 1 << 19
+#: Cases that are mixed at once, so that their slots stay in the processor's cache from bit to bit.
+STEP = 1 << 12
 LEVELS, MAP_CELLS, LIMIT, RATE = 8, 33, 11.0, 0.03
 NO_CLASS = 256
 #: A document's most frequent word names its class if it comes so often.
@@ -48,7 +49,10 @@ MODE_COUNT = 4
 #: Words before a token that its guess rests on.
 SIGHT = 3
 END = tx.U64(0xC2B2AE3D27D4EB4F)
+FOLLOWER = tx.U64(0xFFFF)
 LOW, TOP = tx.U64(0xFF), ~tx.U64((1 << 48) - 1)
+#: A slot's counts are kept in 8 bits each: exact below 64, then by eighths of a doubling.
+EXACT = 64
 _C = [tx.U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -78,6 +82,21 @@ def _add_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, at) if len(at) else x[:0]
 
 
+def code_of(n: np.ndarray) -> np.ndarray:
+    """Counts as 8 bits."""
+    far = EXACT + np.rint(np.log2(np.maximum(n, EXACT) / EXACT) * 8)
+    return np.where(n < EXACT, n, np.minimum(far, 255)).astype(np.uint32)
+
+
+_N = np.where(np.arange(256) < EXACT, np.arange(256), EXACT * 2.0 ** ((np.arange(256) - EXACT) / 8))
+_N0, _N1 = np.repeat(_N, 256), np.tile(_N, 256)
+#: By code of the count of zeros << 8 | code of that of ones, and by which of them one is left out of (none, zeros, ones):
+#: the log-odds, and the level of confidence, by doublings of all counts.
+_LEFT = [(np.maximum(_N0 - a, 0), np.maximum(_N1 - b, 0)) for a, b in ((0, 0), (1, 0), (0, 1))]
+ODDS = np.concatenate([np.log((b + 0.3) / (a + 0.3)) for a, b in _LEFT]).astype(np.float32)
+LEVEL = np.concatenate([np.minimum(np.floor(np.log2(a + b + 1)), LEVELS - 1) for a, b in _LEFT]).astype(np.uint8)
+
+
 # tokens of a block
 
 
@@ -121,14 +140,15 @@ class Tokens:
         one, which, _ = _grouped(key)
         return one, which, key[one]
 
-    def sight(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens with SIGHT words before them in their document, hashes of those, hashes of what follows)."""
+    def sight(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens with SIGHT words before them in their document, 48 bits of a hash of those << 16 | 16 bits of a hash of the
+        token)."""
         t = np.flatnonzero(np.arange(len(self.hash)) - self.first[self.doc] >= SIGHT)
         h = np.zeros(len(t), tx.U64)
         for j in range(1, SIGHT + 1):
             h = (h ^ self.hash[t - j]) * _C[0]
             h ^= h >> tx.U64(29)
-        return t, tx.mix(h) & ~tx.U64(0xFFFF), self.hash[t] >> tx.U64(32)
+        return t, (tx.mix(h) & ~FOLLOWER) | (self.hash[t] >> tx.U64(48))
 
 
 def _emit(word_bits: int, guess_bits: int, held: int):
@@ -153,13 +173,13 @@ def _emit(word_bits: int, guess_bits: int, held: int):
                 use = (n > 0).astype(np.uint8) | ((all_ > n).astype(np.uint8) << np.uint8(1))
                 length = t.length[one]
                 data = t.words.data[tx.ranges(t.start[one], length)]
-                yield rows(0, block, key, word_bits, [n, use, length.astype(np.int32)], (data, np.concatenate([[0], np.cumsum(length)])))
-                at, c, f = t.sight()
+                yield rows(0, block, key, word_bits, [n.astype(np.uint32), use, length.astype(np.uint32)], (data, np.concatenate([[0], np.cumsum(length)])))
+                at, cf = t.sight()
                 if len(at):
-                    order = np.lexsort((f, c))
-                    c, f, mine = c[order], f[order], learnt[t.doc[at]][order]
-                    head = _heads(c, f)
-                    yield rows(1, block, c[head], guess_bits, [_add_at(mine.astype(np.int64), head), f[head].astype(np.uint32)])
+                    order = np.argsort(cf)
+                    cf, mine = cf[order], learnt[t.doc[at]][order]
+                    head = _heads(cf)
+                    yield rows(1, block, cf[head], guess_bits, [_add_at(mine.astype(np.int64), head).astype(np.uint32)])
 
     return run
 
@@ -183,10 +203,10 @@ def _words_of(rows: list[dict]) -> dict:
     hs = [stretch(r["h"], tx.U64) for r in rows]
     h = np.concatenate(hs)
     one, which, _ = _grouped(h)
-    n = np.bincount(which, weights=np.concatenate([stretch(r["p0"], np.int64) for r in rows]), minlength=len(one)).astype(np.int64)
-    use = np.zeros(len(one), np.uint8)
-    np.bitwise_or.at(use, which, np.concatenate([stretch(r["p1"], np.uint8) for r in rows]))
-    length = np.concatenate([stretch(r["p2"], np.int32) for r in rows]).astype(np.int64)
+    n = np.bincount(which, weights=np.concatenate([stretch(r["p0"], np.uint32) for r in rows]), minlength=len(one)).astype(np.int64)
+    asked_whole = np.bincount(which, weights=np.concatenate([stretch(r["p1"], np.uint8) for r in rows]) >> 1, minlength=len(one)) > 0
+    use = (n > 0).astype(np.uint8) | (asked_whole.astype(np.uint8) << np.uint8(1))
+    length = np.concatenate([stretch(r["p2"], np.uint32) for r in rows]).astype(np.int64)
     data = np.concatenate([stretch(r["p3"], np.uint8) for r in rows])
     data = data[tx.ranges((np.cumsum(length) - length)[one], length[one])]
     key = h[one]
@@ -201,31 +221,32 @@ def _words_of(rows: list[dict]) -> dict:
 
 
 def _guesses_of(rows: list[dict]) -> list[dict]:
-    """To each block, of its contexts that other places know: place (a), the two most frequent followers (b, the first in
-    the high half) and their counts (c, d), and the count of all followers (e)."""
-    cs = [stretch(r["h"], tx.U64) for r in rows]
-    ns = [stretch(r["p0"], np.int64) for r in rows]
-    c, n, f = np.concatenate(cs), np.concatenate(ns), np.concatenate([stretch(r["p1"], np.uint32) for r in rows])
-    order = np.lexsort((f, c))
-    c, n, f = c[order], n[order], f[order]
-    at = _heads(c, f)
-    c, n, f = c[at], _add_at(n, at), f[at]
-    order = np.lexsort((f, -n, c))
-    c, n, f = c[order], n[order], f[order]
+    """To each block, of its contexts that other places know: place (a), the two most frequent followers (b, c; count << 16
+    | the complement of the follower's 16 bits) and the count of all followers (d)."""
+    hs = [stretch(r["h"], tx.U64) for r in rows]
+    h, n = np.concatenate(hs), np.concatenate([stretch(r["p0"], np.uint32) for r in rows]).astype(np.int64)
+    order = np.argsort(h)
+    sorted_ = h[order]
+    pair = _heads(sorted_)
+    c = sorted_[pair] >> tx.U64(16)
+    # of the pairs of a context the greatest is the most frequent, and of equal ones that of the least follower
+    rank = (_add_at(n[order], pair) << 16) | (int(FOLLOWER) - (sorted_[pair] & FOLLOWER).astype(np.int64))
     at = _heads(c)
-    known, total = c[at], _add_at(n, at)
-    more = np.diff(np.append(at, len(c))) > 1
-    second = np.where(more, at + 1, at)
-    n2 = np.where(more, n[second], 0)
-    both = (f[at].astype(tx.U64) << tx.U64(32)) | np.where(more, f[second], 0).astype(tx.U64)
-    out = []
-    for r, mine, own in zip(rows, cs, ns, strict=True):
-        head = _heads(mine)
-        where, own = np.searchsorted(known, mine[head]), _add_at(own, head)
+    size = np.diff(np.append(at, len(c)))
+    first, total = np.maximum.reduceat(rank, at), _add_at(rank >> 16, at)
+    rank[rank == np.repeat(first, size)] = 0
+    second = np.maximum.reduceat(rank, at)
+    context = np.empty(len(h), np.int64)
+    context[order] = np.repeat(np.repeat(np.arange(len(at)), size), np.diff(np.append(pair, len(h))))
+    out, begin = [], 0
+    for r, mine in zip(rows, hs, strict=True):
+        head = _heads(mine >> tx.U64(16))
+        where, own = context[begin + head], _add_at(n[begin : begin + len(mine)], head)
+        begin += len(mine)
         told = np.flatnonzero((total[where] > 1) | ((total[where] == 1) & (own == 0)))
         if len(told):
             g = where[told]
-            out.append({"kind": 1, "bucket": r["bucket"], "block": r["block"], "a": squeeze(told.astype(np.uint32)), "b": squeeze(both[g]), "c": squeeze(n[at][g]), "d": squeeze(n2[g]), "e": squeeze(total[g])})
+            out.append({"kind": 1, "bucket": r["bucket"], "block": r["block"], "a": squeeze(told.astype(np.uint32)), "b": squeeze(first[g]), "c": squeeze(second[g]), "d": squeeze(total[g])})
     return out
 
 
@@ -243,24 +264,23 @@ def _level(n: np.ndarray, most: int) -> np.ndarray:
 def guess_keys(t: Tokens, learnt: np.ndarray, told: list[dict], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each token (key of what its guess is judged by, or -1 without a guess; whether the guess comes true)."""
     key, right = np.full(len(t.hash), -1, np.int64), np.zeros(len(t.hash), bool)
-    at, c, f = t.sight()
+    at, cf = t.sight()
     if not len(at):
         return key, right
-    one, which, _ = _grouped(c)
-    found = np.zeros((5, len(one)), np.int64)
-    buckets, bounds = split_at(c[one], bits)
+    one, which, _ = _grouped(cf >> tx.U64(16))
+    found = np.zeros((3, len(one)), np.int64)
+    buckets, bounds = split_at(cf[one], bits)
     begin = dict(zip(buckets.tolist(), bounds.tolist(), strict=False))
     for r in told:
         place = begin[r["bucket"]] + stretch(r["a"], np.uint32).astype(np.int64)
-        both = stretch(r["b"], tx.U64)
-        found[0, place], found[1, place] = (both >> tx.U64(32)).astype(np.int64), (both & tx.U64(0xFFFFFFFF)).astype(np.int64)
-        for k, x in enumerate("cde", 2):
+        for k, x in enumerate("bcd"):
             found[k, place] = stretch(r[x], np.int64)
-    f1, f2, n1, n2, total = found[:, which]
-    own, f = learnt[t.doc[at]].astype(np.int64), f.astype(np.int64)
-    n1, n2, total = n1 - own * (f1 == f) * (n1 > 0), n2 - own * (f2 == f) * (n2 > 0), total - own
-    second = n2 > n1
-    n, guess = np.where(second, n2, n1), np.where(second, f2, f1)
+    first, second, total = found[:, which]
+    own, f = learnt[t.doc[at]].astype(np.int64), int(FOLLOWER) - (cf & FOLLOWER).astype(np.int64)
+    f1, f2 = first & int(FOLLOWER), second & int(FOLLOWER)
+    n1, n2 = first >> 16, second >> 16
+    n1, n2, total = n1 - own * ((f1 == f) & (n1 > 0)), n2 - own * ((f2 == f) & (n2 > 0)), total - own
+    n, guess = np.maximum(n1, n2), np.where(n2 > n1, f2, f1)
     has = n > 0
     hit = has & (guess == f)
     outcome = np.zeros(len(t.hash), np.int64)
@@ -435,7 +455,7 @@ def _groups(ctx: np.ndarray, half: np.ndarray, piece_bits: int, slot_bits: int)
     x ^= x >> tx.U64(29)
     x *= _C[0]
     low = tx.U64(slot_bits - piece_bits)
-    return ((ctx >> tx.U64(64 - piece_bits)) << low | (x >> (tx.U64(64) - low))).astype(np.int64), (x & tx.U64(0xFFFF)) | tx.U64(1)
+    return ((ctx >> tx.U64(64 - piece_bits)) << low | (x >> (tx.U64(64) - low))).astype(np.int64), (x & tx.U64(0xFFFF)).astype(np.uint32) | np.uint32(1)
 
 
 def _half(byte: np.ndarray, k: int) -> np.ndarray:
@@ -475,10 +495,8 @@ def _piece(piece_bits: int, slot_bits: int):
         slot, check, n0, n1 = np.concatenate(nodes, axis=1)
         order = np.lexsort((check, -(n0 + n1), slot))
         first = order[_heads(slot[order])]
-        n0, n1 = n0[first], n1[first]
-        over = np.maximum(1, -(-np.maximum(n0, n1) // COUNT_MAX))  # far counts keep their ratio
-        value = (check[first].astype(tx.U64) << tx.U64(48)) | ((n0 // over).astype(tx.U64) << tx.U64(24)) | (n1 // over).astype(tx.U64)
-        return pa.table({"slot": pa.array([squeeze(slot[first])], pa.binary()), "value": pa.array([squeeze(value)], pa.binary())})
+        value = (check[first].astype(np.uint32) << np.uint32(16)) | (code_of(n0[first]) << np.uint32(8)) | code_of(n1[first])
+        return pa.table({"slot": pa.array([squeeze(slot[first].astype(np.uint32))], pa.binary()), "value": pa.array([squeeze(value)], pa.binary())})
 
     return run
 
@@ -489,29 +507,26 @@ class Lookup:
 
     def __init__(self, table: np.ndarray, ctx: np.ndarray, byte: np.ndarray, left_out: np.ndarray, piece_bits: int):
         self.table, self.ctx, self.byte, self.piece_bits = table, ctx, byte, piece_bits
-        self.left_out, self.slot_bits = left_out.astype(np.float32), len(table).bit_length() - 1
+        self.left_out, self.slot_bits = left_out.astype(np.uint32), len(table).bit_length() - 1
 
     def bit(self, k: int, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
         """(inputs, gates, bits) of bit k for the cases `at`; a predictor whose slots are another's gives 0 at level 0."""
         if k % 4 == 0:
             half = _half(self.byte, k)
             self.groups = [_groups(c, half, self.piece_bits, self.slot_bits) for c in self.ctx]
-        byte, out = self.byte[at], self.left_out[at]
+        byte = self.byte[at]
         place = _place(byte, k)
-        bit = ((byte >> tx.U64(7 - k)) & tx.U64(1)).astype(np.float32)
-        out1 = out * bit
-        out0 = out - out1
+        bit = ((byte >> tx.U64(7 - k)) & tx.U64(1)).astype(np.uint32)
+        left = (self.left_out[at] * (bit + np.uint32(1))) << np.uint32(16)
         x = np.ones((len(byte), ORDERS + 1), np.float32)
         level = []
         for o, (first, check) in enumerate(self.groups):
-            v = self.table[first[at] ^ place]
-            v *= (v >> tx.U64(48)) == check[at]
-            n0 = np.maximum(((v >> tx.U64(24)) & tx.U64(COUNT_MAX)).astype(np.float32) - out0, 0)
-            n1 = np.maximum((v & tx.U64(COUNT_MAX)).astype(np.float32) - out1, 0)
-            np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)), out=x[:, o])
+            v = self.table.take(first[at] ^ place)
+            v &= np.uint32(0xFFFF) * ((v >> np.uint32(16)) == check[at])
+            v |= left
+            x[:, o] = ODDS.take(v)
             if o:  # no gate asks the first
-                n0 += n1 + np.float32(1)
-                level.append(np.minimum((n0.view(np.uint32) >> np.uint32(23)) - np.uint32(127), LEVELS - 1).astype(np.int64))
+                level.append(LEVEL.take(v).astype(np.int64))
         here = k * LEVELS
         return x, ((here + level[3]) * LEVELS + level[2], (here + level[1]) * LEVELS + level[0]), bit
 
@@ -556,11 +571,11 @@ class Mixer:
         return np.clip(0.5 * p + 0.5 * (said[low] * (1 - part) + said[low + 1] * part), 2.0**-16, 1 - 2.0**-16)
 
     def learn(self, x: np.ndarray, g: tuple[np.ndarray, np.ndarray], k: int, bit: np.ndarray, times: np.ndarray) -> None:
-        """One online step for each run of 4096 cases: predict, note in the map, then move the weights."""
+        """One online step for each run of STEP cases: predict, note in the map, then move the weights."""
         gates, low = LEVELS * LEVELS, k * LEVELS * LEVELS  # the gates of this bit
         here = slice(low, low + gates)
-        for a in range(0, len(x), 4096):
-            part = slice(a, a + 4096)
+        for a in range(0, len(x), STEP):
+            part = slice(a, a + STEP)
             xs, gs, y, t = x[part], (g[0][part], g[1][part]), bit[part], times[part]
             z = self.logit(xs, gs)
             cell = self.cell(z)
@@ -594,10 +609,12 @@ def _fit(model, piece_bits: int):
             for some, spelt, off in _parts(row, pick):
                 s = Spelling(spelt, off, kind[some], np.ones(len(some), np.uint8))
                 times = s.weights(n[some], np.diff(off))
-                lookup = Lookup(model.value, s.ctx, s.byte, s.left_out, piece_bits)
-                for k in range(8):
-                    x, g, bit = lookup.bit(k)
-                    mixer.learn(x, g, k, bit, times)
+                for a in range(0, len(times), STEP):
+                    part = slice(a, a + STEP)
+                    lookup = Lookup(model.value, s.ctx[:, part], s.byte[part], s.left_out[part], piece_bits)
+                    for k in range(8):
+                        x, g, bit = lookup.bit(k)
+                        mixer.learn(x, g, k, bit.astype(np.float64), times[part])
             state = mixer.state()
             state[: mixer.size] *= UNIT
             yield pa.RecordBatch.from_arrays([pa.array([np.rint(state).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["state"])
@@ -609,8 +626,8 @@ def log10_of(table: np.ndarray, mixer: Mixer, s: Spelling, piece_bits: int) -> n
     """Of each distinct case the log10 probability of its byte. Cases that agree in all but the bits to come follow each
     other, and their next bit is predicted once."""
     out = np.zeros(len(s.key))
-    for a in range(0, len(s.key), 1 << 16):
-        part = slice(a, a + (1 << 16))
+    for a in range(0, len(s.key), STEP):
+        part = slice(a, a + STEP)
         keys, byte = s.key[part], s.byte[part]
         lookup = Lookup(table, s.ctx[:, part], byte, s.left_out[part], piece_bits)
         for k in range(8):
@@ -713,7 +730,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "d
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
 
     # words and contexts
-    word_bits, guess_bits = _bits(n_bytes * 0.02), _bits(n_bytes * 0.06)
+    word_bits, guess_bits = _bits(n_bytes * 0.04), _bits(n_bytes * 0.15)
     asked = blocks.select("block", "data").mapInArrow(_emit(word_bits, guess_bits, held), EMITTED)
     gathered = cut(asked.groupBy("kind", "bucket").applyInArrow(_gather, GATHERED), "gathered", "kind")
     words, guesses = gathered.where("kind = 0"), gathered.where("kind = 1")
@@ -724,9 +741,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "d
     piece_bits = min(slot_bits - 6, _bits(2.0 * spelt))
     counts = words.select("a", "b", "c", "d").mapInArrow(_count(piece_bits), "piece int, h binary, kind binary, n binary")
     slots = counts.groupBy("piece").applyInArrow(_piece(piece_bits, slot_bits), "slot binary, value binary")
-    table = np.zeros(1 << slot_bits, tx.U64)
-    for row in slots.toLocalIterator():  # 2**MAX_SLOT_BITS slots at most
-        table[stretch(row["slot"], np.int64)] = stretch(row["value"], tx.U64)
+    table = np.zeros(1 << slot_bits, np.uint32)
+    for row in slots.collect():  # 2**MAX_SLOT_BITS slots at most
+        table[stretch(row["slot"], np.uint32)] = stretch(row["value"], np.uint32)
     model = spark.sparkContext.broadcast(table)
 
     # the mixing weights: the mean of the buckets' online runs, and the sum of their maps
@@ -741,7 +758,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "d
     # each word is spelt once; each document is read once
     told = words.select("bucket", "a", "b", "c", "e", "f", "blocks", "places").mapInArrow(_spell(model, state, piece_bits), "block long, bucket int, n binary, whole binary, left binary")
     told = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "whole", "left")).alias("told"))
-    guessed = guesses.groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d", "e")).alias("guessed"))
+    guessed = guesses.groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias("guessed"))
     joined = blocks.join(told, "block", "left").join(guessed, "block", "left")
     read = cut(of_blocks(joined, partial(_read, guess_bits, held, total, distinct), READ, ("told", "guessed")), "read")
     drop(blocks, gathered)

@@ -101,10 +101,10 @@ class Words:
 def words(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
     data, off = raw(texts)
     if lower:
-        data = LOWER[data]
+        data = data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
     n = len(data)
     solid = np.zeros(n + 1, bool)
-    np.logical_not(SPACE[data], out=solid[:n])
+    np.logical_and(data != 32, (data - np.uint8(9)) >= 5, out=solid[:n])
     before = np.zeros(n + 1, bool)
     before[1:] = solid[:-1]
     edge = np.zeros(n + 1, bool)  # a document begins here
