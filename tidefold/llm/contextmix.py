@@ -51,6 +51,8 @@ SIGHT = 3
 END = tx.U64(0xC2B2AE3D27D4EB4F)
 FOLLOWER = tx.U64(0xFFFF)
 LOW, TOP = tx.U64(0xFF), ~tx.U64((1 << 48) - 1)
+#: The bits of a hashed context; below them there is room for a class and a byte.
+CONTEXT = ~tx.U64((1 << 17) - 1)
 #: A slot's counts are kept in 8 bits each: exact below 64, then by eighths of a doubling.
 EXACT = 64
 _C = [tx.U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -314,10 +316,10 @@ def fit_flags(counts: np.ndarray, rounds: int = 40) -> np.ndarray:
     sums = [np.stack([np.bincount(c, counts[y], c.max() + 1) for y in (0, 1)]) for c in contexts[:3]]
 
     def inputs(key: np.ndarray, left_out: np.ndarray) -> np.ndarray:
-        x = np.ones((len(key), 4), np.float32)
+        x = np.ones((4, len(key)), np.float32)
         for j, s in enumerate(sums):
             n = np.maximum(s[:, contexts[j][key]] - left_out, 0)
-            x[:, j] = np.log((n[1] + 0.3) / (n[0] + 0.3))
+            x[j] = np.log((n[1] + 0.3) / (n[0] + 0.3))
         return x
 
     mixer = Mixer(kinds=1, inputs=3)
@@ -337,14 +339,14 @@ def fit_flags(counts: np.ndarray, rounds: int = 40) -> np.ndarray:
 
 
 def contexts(seen: np.ndarray, so_far: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Hashes (ORDERS x cases) of the contexts, each with its low byte clear; the last two share their leading bits."""
+    """Hashes (ORDERS x cases) of the contexts, CONTEXT bits each; the last two share their leading bits."""
     last = [tx.mix((seen & np.uint32((1 << (8 * j)) - 1)).astype(tx.U64) + (tx.U64(j) << tx.U64(40))) for j in (2, 3, 4)]
-    word = tx.mix(so_far + (tx.U64(9) << tx.U64(40))) & ~LOW
-    return np.stack([*(x & ~LOW for x in last), word, in_class(word, kind)])
+    word = tx.mix(so_far + (tx.U64(9) << tx.U64(40))) & CONTEXT
+    return np.stack([*(x & CONTEXT for x in last), word, in_class(word, kind)])
 
 
 def in_class(word: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return (word & TOP) | (tx.mix(word + (kind.astype(tx.U64) + tx.U64(1)) * _C[2]) & ~TOP & ~LOW)
+    return (word & TOP) | (tx.mix(word + (kind.astype(tx.U64) + tx.U64(1)) * _C[2]) & ~TOP & CONTEXT)
 
 
 class Spelling:
@@ -404,38 +406,35 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
-def _summed(h: np.ndarray, kind: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((kind, h))
-    h, kind, n = h[order], kind[order], n[order]
-    at = _heads(h, kind)
-    return h[at], kind[at], _add_at(n, at)
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h)
+    h = h[order]
+    at = _heads(h)
+    return h[at], _add_at(n[order], at)
 
 
 def _count(bits: int):
-    """(piece, h, kind, n): how often each byte followed each context; the word so far by class, the others as NO_CLASS."""
+    """(piece, h, n): how often each byte followed each context; h is context | class << 8 | byte, for the word so far by
+    class, for the others with NO_CLASS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def joined() -> tuple[np.ndarray, ...]:
+        def joined() -> tuple[np.ndarray, np.ndarray]:
             return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-        def flush(h, kind, n) -> pa.RecordBatch:
+        def flush(h, n) -> pa.RecordBatch:
             pieces, bounds = split_at(h, bits)
             spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), *(pa.array([squeeze(x[a:b]) for a, b in spans], pa.binary()) for x in (h, kind, n))], names=["piece", "h", "kind", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), *(pa.array([squeeze(x[a:b]) for a, b in spans], pa.binary()) for x in (h, n))], names=["piece", "h", "n"])
 
         for row in _rows(batches):
             n, kind = stretch(row["d"], np.int64), stretch(row["c"], np.uint8)
             for some, spelt, off in _parts(row, np.flatnonzero(n)):
                 s = Spelling(spelt, off, kind[some], np.zeros(len(some), np.uint8))
                 w = s.weights(n[some], np.diff(off)).astype(np.int64)
-                held.append((s.ctx[3] | s.byte, s.kind.astype(np.uint16), w))
-                for c in s.ctx[:3]:
-                    h = c | s.byte
-                    order = np.argsort(h)
-                    at = _heads(h[order])
-                    held.append((h[order][at], np.full(len(at), NO_CLASS, np.uint16), _add_at(w[order], at)))
+                held.append((s.ctx[3] | (s.kind.astype(tx.U64) << tx.U64(8)) | s.byte, w))
+                held += [_summed(c | tx.U64(NO_CLASS << 8) | s.byte, w) for c in s.ctx[:3]]
                 if sum(len(x[0]) for x in held) > HELD:
                     held = [joined()]
                     if len(held[0][0]) > HELD // 2:
@@ -474,14 +473,12 @@ def _piece(piece_bits: int, slot_bits: int):
     """The slots of one piece of the model from all counts whose contexts it holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, kind, n = (np.concatenate([stretch(b, t) for b in table.column(c).to_pylist()]) for c, t in (("h", tx.U64), ("kind", np.uint16), ("n", np.int64)))
+        h, n = (np.concatenate([stretch(b, t) for b in table.column(c).to_pylist()]) for c, t in (("h", tx.U64), ("n", np.int64)))
+        kind = (h >> tx.U64(8)) & tx.U64(0x1FF)
         own = kind != NO_CLASS
-        h = np.concatenate([h, in_class(h[own] & ~LOW, kind[own]) | (h[own] & LOW)])
-        n = np.concatenate([n, n[own]])
-        order = np.argsort(h)
-        at = _heads(h[order])
-        h, n = h[order][at], _add_at(n[order], at)
-        ctx, byte = h & ~LOW, h & LOW
+        word = h[own] & CONTEXT
+        h, n = _summed(np.concatenate([(h & CONTEXT) | (h & LOW), in_class(word, kind[own]) | (h[own] & LOW)]), np.concatenate([n, n[own]]))
+        ctx, byte = h & CONTEXT, h & LOW
         nodes: list[np.ndarray] = []
         for k in range(8):
             node = byte >> tx.U64(8 - k)
@@ -493,8 +490,11 @@ def _piece(piece_bits: int, slot_bits: int):
             slot ^= _place(byte[at], k)
             nodes.append(np.stack([slot, check.astype(np.int64), both - n1, n1]))
         slot, check, n0, n1 = np.concatenate(nodes, axis=1)
-        order = np.lexsort((check, -(n0 + n1), slot))
-        first = order[_heads(slot[order])]
+        order = np.argsort(slot)
+        rank, at = ((n0 + n1) << 16 | check)[order], _heads(slot[order])
+        # the node seen most keeps the slot, and of equal ones that of the greatest check
+        best = np.flatnonzero(rank == np.repeat(np.maximum.reduceat(rank, at), np.diff(np.append(at, len(rank)))))
+        first = order[best[_heads(slot[order][best])]]
         value = (check[first].astype(np.uint32) << np.uint32(16)) | (code_of(n0[first]) << np.uint32(8)) | code_of(n1[first])
         return pa.table({"slot": pa.array([squeeze(slot[first].astype(np.uint32))], pa.binary()), "value": pa.array([squeeze(value)], pa.binary())})
 
@@ -518,13 +518,13 @@ class Lookup:
         place = _place(byte, k)
         bit = ((byte >> tx.U64(7 - k)) & tx.U64(1)).astype(np.uint32)
         left = (self.left_out[at] * (bit + np.uint32(1))) << np.uint32(16)
-        x = np.ones((len(byte), ORDERS + 1), np.float32)
+        x = np.ones((ORDERS + 1, len(byte)), np.float32)
         level = []
         for o, (first, check) in enumerate(self.groups):
             v = self.table.take(first[at] ^ place)
             v &= np.uint32(0xFFFF) * ((v >> np.uint32(16)) == check[at])
             v |= left
-            x[:, o] = ODDS.take(v)
+            x[o] = ODDS.take(v)
             if o:  # no gate asks the first
                 level.append(LEVEL.take(v).astype(np.int64))
         here = k * LEVELS
@@ -537,12 +537,12 @@ class Mixer:
 
     def __init__(self, state: np.ndarray | None = None, kinds: int = 8, inputs: int = ORDERS):
         self.inputs = inputs + 1
-        shape = (2, kinds * LEVELS * LEVELS, self.inputs)
+        shape = (2, self.inputs, kinds * LEVELS * LEVELS)
         self.slope = np.zeros(shape)
         self.size = int(np.prod(shape))
         if state is None:
             self.weights = np.full(shape, 0.15, np.float64)
-            self.weights[:, :, inputs] = 0
+            self.weights[:, inputs] = 0
             self.map = np.zeros((2, kinds, MAP_CELLS))
         else:
             self.weights = state[: self.size].reshape(shape).astype(np.float32)
@@ -552,7 +552,9 @@ class Mixer:
         return np.concatenate([self.weights.ravel(), self.map.ravel()])
 
     def logit(self, x: np.ndarray, g: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        z = np.einsum("io,io->i", self.weights[0].take(g[0], 0) + self.weights[1].take(g[1], 0), x)
+        z = np.zeros(x.shape[1], self.weights.dtype)
+        for o, own in enumerate(x):
+            z += (self.weights[0, o].take(g[0]) + self.weights[1, o].take(g[1])) * own
         return np.clip(z, -LIMIT, LIMIT)
 
     @staticmethod
@@ -574,21 +576,22 @@ class Mixer:
         """One online step for each run of STEP cases: predict, note in the map, then move the weights."""
         gates, low = LEVELS * LEVELS, k * LEVELS * LEVELS  # the gates of this bit
         here = slice(low, low + gates)
-        for a in range(0, len(x), STEP):
+        for a in range(0, x.shape[1], STEP):
             part = slice(a, a + STEP)
-            xs, gs, y, t = x[part], (g[0][part], g[1][part]), bit[part], times[part]
+            xs, gs, y, t = x[:, part], (g[0][part], g[1][part]), bit[part], times[part]
             z = self.logit(xs, gs)
             cell = self.cell(z)
             self.map[0, k] += np.bincount(cell, y * t, MAP_CELLS)
             self.map[1, k] += np.bincount(cell, t, MAP_CELLS)
-            step = (t * (y - 1 / (1 + np.exp(-z))))[:, None] * xs
+            miss = t * (y - 1 / (1 + np.exp(-z)))
+            step = [miss * own for own in xs]
             for s in (0, 1):
                 at = gs[s] - low
-                total = np.stack([np.bincount(at, step[:, o], gates) for o in range(self.inputs)], axis=1)
-                total /= np.sqrt(np.maximum(np.bincount(at, t, gates), 1))[:, None]
+                total = np.stack([np.bincount(at, own, gates) for own in step])
+                total /= np.sqrt(np.maximum(np.bincount(at, t, gates), 1))
                 # steps shrink with the slope seen so far, so no frequent case takes one too far
-                self.slope[s][here] += total**2
-                self.weights[s][here] += RATE * total / np.sqrt(self.slope[s][here] + 1e-6)
+                self.slope[s, :, here] += total**2
+                self.weights[s, :, here] += RATE * total / np.sqrt(self.slope[s, :, here] + 1e-6)
         np.clip(self.weights, -4, 4, out=self.weights)
 
 
@@ -739,7 +742,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "d
     # the model's counts
     slot_bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, int(4 * spelt).bit_length()))
     piece_bits = min(slot_bits - 6, _bits(2.0 * spelt))
-    counts = words.select("a", "b", "c", "d").mapInArrow(_count(piece_bits), "piece int, h binary, kind binary, n binary")
+    counts = words.select("a", "b", "c", "d").mapInArrow(_count(piece_bits), "piece int, h binary, n binary")
     slots = counts.groupBy("piece").applyInArrow(_piece(piece_bits, slot_bits), "slot binary, value binary")
     table = np.zeros(1 << slot_bits, np.uint32)
     for row in slots.collect():  # 2**MAX_SLOT_BITS slots at most
