@@ -14,7 +14,7 @@ from tidefold.llm.scratch import cut
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep_good(docs)
+    return keep_good(docs, group_col="lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,9 @@ def owners(start: np.ndarray, end: np.ndarray, bounds: np.ndarray, rule: str) ->
     return own, a != b
 
 
-def _attribute(path: str, rule: str, special_as_text: bool):
+def _attribute(path: str, rule: str, special_as_text: bool, carry: bool = False):
+    """Of (id, text[, starts][, fields]); with `carry` the last column goes on with its row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, special_as_text)
         width = enc.byte_lengths()
@@ -42,7 +44,7 @@ def _attribute(path: str, rule: str, special_as_text: bool):
                 end = np.cumsum(width[ids])
                 start = end - width[ids]
                 n = part.num_rows
-                if part.num_columns > 2:  # starts in code points, to bytes
+                if part.num_columns - carry > 2:  # starts in code points, to bytes
                     lead = np.flatnonzero((data & 0xC0) != 0x80)
                     base = np.searchsorted(lead, off)
                     given = []
@@ -61,7 +63,10 @@ def _attribute(path: str, rule: str, special_as_text: bool):
                 doc = np.repeat(np.arange(n), count)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sections)]), pa.int32()), pa.array(per, pa.int64()))
                 cols = [part.column(0), pa.array(count, pa.int64()), pa.array(sections, pa.int64()), pa.array(np.bincount(doc[crossing], minlength=n), pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
+                names = ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens"]
+                if carry:
+                    cols, names = [*cols, part.column(part.num_columns - 1)], [*names, "fields"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -69,7 +74,7 @@ def _attribute(path: str, rule: str, special_as_text: bool):
 def section_tokens(
     docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", starts_col: str | None = None, rule: str = "first", special_as_text: bool = False
 ) -> DataFrame:
-    """(id, n_tokens, n_sections, n_crossing, section_tokens) for every row of docs; no shuffle.
+    """(id, n_tokens, n_sections, n_crossing, section_tokens) for every row of docs; no shuffle. Ids are numbers.
 
     Sections begin at 0 and at the code points in starts_col (an array; null, repeated and outside positions are
     ignored), or without it at each line. A token across a boundary goes to one section by `rule`, so
@@ -89,8 +94,10 @@ def field_tokens(docs: DataFrame, fields: list[str], vocabulary: str | None = No
     """section_tokens over several string columns: they are joined, encoded once, and each field is a section.
 
     A null or empty field has no characters, so no section stands for it; `fields` in the result names those that
-    do, beside section_tokens.
+    do, beside section_tokens, row by row: repeated and null ids keep their own. No shuffle.
     """
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}")
     parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     sizes = [F.length(p).cast("long") for p in parts]
     starts, at = [], F.lit(0).cast("long")
@@ -98,8 +105,6 @@ def field_tokens(docs: DataFrame, fields: list[str], vocabulary: str | None = No
         starts.append(at)
         at = at + size
     named = F.filter(F.array(*(F.when(s > 0, F.lit(f)) for s, f in zip(sizes, fields, strict=True))), lambda x: x.isNotNull())
-    joined = docs.select(F.col(id_col).alias("id"), F.concat(*parts).alias("text"), F.array(*starts).alias("starts"), named.alias("fields"))
-    # the field names travel with the id so that no join is needed
-    tagged = joined.select(F.col("id"), "text", "starts", "fields")
-    out = section_tokens(tagged, vocabulary, "id", "text", "starts", rule)
-    return out.join(tagged.select(F.col("id").cast("long").alias("id"), "fields").distinct(), "id", "left")
+    joined = docs.select(F.col(id_col).cast("long").alias("id"), F.concat(*parts).alias("text"), F.array(*starts).alias("starts"), named.alias("fields"))
+    run = _attribute(vocabulary or default_vocabulary(), rule, False, True)
+    return joined.mapInArrow(run, "id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>, fields array<string>")

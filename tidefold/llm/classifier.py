@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-#: The bounded sample that the model is fitted on: labelled rows per class, and the longest text taken into it.
+#: The bounded sample that the model is fitted on: labelled rows per class, and characters of a text. A longer text is
+#: stood for by so many characters from a place that a hash of its id sets.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 CHUNK, DICTIONARY, LEVEL = 1024, 112_640, 3
 FEATURES = 4
@@ -58,19 +59,14 @@ class Model:
 
 
 def features(t: bytes, tools: tuple) -> tuple[float, ...]:
-    """Of a text: the mean size difference, those of its best and worst chunk, and the compressed share."""
+    """Of a text: the mean size difference, those of its best and worst chunk, and the compressed share. All of the text is
+    compressed; a last chunk under a quarter of CHUNK counts in the means, but is not asked to be best or worst."""
     if not t:
         return (0.0,) * FEATURES
     good, bad = tools
-    g, b, n = [], [], []
-    for i in range(0, len(t), CHUNK):
-        c = t[i : i + CHUNK]
-        if n and len(c) < CHUNK // 4:  # a short tail says little of itself
-            continue
-        g.append(len(good.compress(c)))
-        b.append(len(bad.compress(c)))
-        n.append(len(c))
-    each = [(y - x) / m for x, y, m in zip(g, b, n, strict=True)]
+    chunks = [t[i : i + CHUNK] for i in range(0, len(t), CHUNK)]
+    g, b, n = [len(good.compress(c)) for c in chunks], [len(bad.compress(c)) for c in chunks], [len(c) for c in chunks]
+    each = [(y - x) / m for x, y, m in zip(g, b, n, strict=True) if m >= CHUNK // 4 or len(n) == 1]
     return (sum(b) - sum(g)) / sum(n), min(each), max(each), min(sum(g), sum(b)) / sum(n)
 
 
@@ -118,15 +114,19 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str) -> list[tuple[int, str, int]]:
-    """At most SAMPLE_ROWS labelled rows of each class, those of least id hash, with texts of up to SAMPLE_CHARS."""
+    """At most SAMPLE_ROWS labelled rows of each class, those of least id hash, with SAMPLE_CHARS characters of a text at
+    most. An id with both labels is passed over; one that several documents have gives each of them."""
     known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    known = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).alias("other")).where("y = other").select("id", "y")
     picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS) for y in (0, 1)]
     picked = [tuple(r) for p in picks for r in p.collect()]
     ids = docs.sparkSession.createDataFrame(picked, "id long, y int")
-    short = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    text = F.col(text_col).cast("string")
+    spare = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0))
+    part = F.substring(text, (F.pmod(F.xxhash64(F.col(id_col).cast("long")), spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     # the ids are 2 * SAMPLE_ROWS rows at most
-    return [(r[0], r[1], r[2]) for r in short.join(F.broadcast(ids), "id").select("id", "text", "y").collect()]
+    found = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("text")).join(F.broadcast(ids), "id")
+    return [(r[0], r[1], r[2]) for r in found.orderBy("id", "text").limit(2 * SAMPLE_ROWS).select("id", "text", "y").collect()]
 
 
 def apply(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +153,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """(id, held_out, score, predicted) for every row of docs.
 
     Labels are learnt only from rows whose crc32(id as text) mod `folds` is not `held`, on a sample bounded by
-    SAMPLE_ROWS and SAMPLE_CHARS; every document is scored on its whole text alone. Null or empty text has all
+    SAMPLE_ROWS and SAMPLE_CHARS; every document is scored on its whole text alone. Ids are numbers; an id with
+    contradicting labels teaches nothing, and repeated rows are scored each. Null or empty text has all
     features 0. With no label, or of one class only, the score is that class's share (0.5 without labels). Labels
     other than 0 and 1 and null ids in labels are passed over; a null id in docs is scored, held_out false.
     """

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .scratch import cut
 
-#: Item text in one index. More of it is searched by several indexes in turn, each of its own share of the items.
+#: Item text in one index. More of it is searched by several indexes in turn, each of its own share of the items; weights come
+#: from all items, so that the shares change no score.
 INDEX_BYTES = 8 << 20
 PIECE, PASSAGE, BLOCK = 48, 96, 16
 K1, B = 1.2, 0.75
@@ -82,8 +84,26 @@ class Index:
     size: list  #: words to a run, by item
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
-    """An index of (item id, text) rows; items without words are left out."""
+def pieces(h: np.ndarray) -> list[np.ndarray]:
+    """An item's words in pieces of PIECE at most."""
+    return np.array_split(h, -(-len(h) // PIECE))
+
+
+@dataclass
+class Weights:
+    """What all pieces of all items say of a term's rarity and a piece's length."""
+
+    count: int  #: pieces
+    mean: float  #: words of a piece
+    holders: dict[int, int]  #: pieces that hold each term
+
+    @staticmethod
+    def of(bags: list[Counter]) -> Weights:
+        return Weights(len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags)), Counter(t for b in bags for t in b))
+
+
+def build(rows: list[tuple[int, str]], weights: Weights | None = None) -> Index:
+    """An index of (item id, text) rows; items without words are left out. weights: of all items, if these aren't all."""
     ids, question, answer, size, item, bags = [], [], [], [], [], []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         t = t or ""
@@ -99,16 +119,15 @@ def build(rows: list[tuple[int, str]]) -> Index:
         size.append(n)
         question.append(np.unique(g[begins + n <= q] if q >= n else g[:1]))
         answer.append(np.unique(g[begins + n > q]))
-        for part in np.array_split(h, -(-len(h) // PIECE)):
+        for part in pieces(h):
             item.append(len(ids) - 1)
             bags.append(Counter(part.tolist()))
-    df = Counter(t for b in bags for t in b)
-    terms = np.array(sorted(df), tx.U64)
-    mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
-    posts: dict[int, list] = {t: [] for t in df}
+    all_ = weights or Weights.of(bags)
+    terms = np.array(sorted({t for b in bags for t in b}), tx.U64)
+    posts: dict[int, list] = {t: [] for t in terms.tolist()}
     for k, b in enumerate(bags):
         length = sum(b.values())
-        raw = {t: np.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in b.items()}
+        raw = {t: np.log(1 + (all_.count - all_.holders[t] + 0.5) / (all_.holders[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / all_.mean)) for t, f in b.items()}
         total = sum(raw.values())
         for t, x in raw.items():
             posts[t].append((k, x / total))
@@ -210,15 +229,43 @@ def leaks(texts: pa.Array, ix: Index) -> list[tuple[int, int, float, float, floa
     return out
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term, pieces that hold it) of each item; the term null counts the pieces, -1 pieces stand for words."""
+    for batch in batches:
+        for some in tx.blocks(batch, "t"):
+            parts, terms, n, words = [], [], [], []
+            for p, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                at = answer_start(t)
+                h = folded(pa.array([t[:at], t[at:]], pa.large_string())).hash
+                if not len(h):
+                    continue
+                bags = pieces(h)
+                held, times = np.unique(np.concatenate([np.unique(b) for b in bags]), return_counts=True)
+                parts += [p] * (len(held) + 1)
+                terms += [*held.view(np.int64).tolist(), None]
+                n += [*times.tolist(), len(bags)]
+                words += [*[0] * len(held), len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(terms, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["part", "term", "n", "words"])
+
+
 def indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes of all items. Each holds about INDEX_BYTES of text at most, so its broadcast is bounded; more items
-    make more indexes, dealt by a hash."""
+    make more indexes, dealt by a hash and weighted by what all of them hold."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // INDEX_BYTES)
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1))).cast("int")
+    if n > 1:
+        counted = items.select(part.alias("part"), "t").mapInArrow(_count_terms, "part int, term long, n long, words long")
+        counted = cut(counted.groupBy("part", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "terms")
+        every, words = counted.where("term is null").agg(F.sum("n"), F.sum("words")).first()
+        held = cut(counted.where("term is not null").groupBy("term").agg(F.sum("n").alias("holders")), "terms")
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield build([tuple(r) for r in part.collect()])
+        weights = None
+        if n > 1:  # the terms of one part, as few as its text has
+            own = counted.where((F.col("part") == k) & F.col("term").isNotNull()).join(held, "term").select("term", "holders").collect()
+            weights = Weights(every, words / every, {r[0] % (1 << 64): r[1] for r in own})
+        yield build([tuple(r) for r in items.where(part == k).collect()], weights)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -227,7 +274,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Words are runs of letters and digits, in lower case. A leak is retrieved by BM25 at RETRIEVE of the score
     that a piece has for itself, and confirmed if the document holds QUESTION of the question's and ANSWER of the
     answer's distinct RUN-word runs (an item of fewer words: the whole). Clean documents give no row. Null or
-    empty text on either side leaks nothing; null ids are returned as they are; repeated rows give repeated rows.
+    empty text on either side leaks nothing; null ids are returned as they are; repeated rows give repeated rows. Ids are
+    numbers.
     Other columns are ignored. No items: no rows.
     """
     schema = "id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -253,7 +301,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that leak no item, with all their columns; no shuffle and no join."""
+    """The rows of docs that leak no item, with all their columns; no shuffle and no join. Null and empty texts leak nothing and
+    stay, and so do rows of null id without a leak; repeated rows stay or go together. No items: all rows stay."""
 
     def cleaner(ix: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,9 +51,14 @@ def unpack(data: bytes) -> pa.RecordBatch:
         return f.read_next_batch()
 
 
-def write_blocks(docs: DataFrame, columns: dict[str, str], label: str = "blocks") -> DataFrame:
+#: A block's number is its task << PLACE_BITS, plus its place there.
+PLACE_BITS, TASK_BITS = 16, 20
+
+
+def write_blocks(docs: DataFrame, columns: dict[str, str], label: str = "blocks", path: str | None = None, number: int = 0) -> DataFrame:
     """A table of blocks of the columns {name: type} of docs, the last of which is the text. Within a block the
-    rows are in order of the first column, null last. Null text is kept as empty."""
+    rows are in order of the first column, null last. Null text is kept as empty. Blocks of different `number`s differ in
+    their numbers. path: where to write, if not to a new folder."""
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +75,7 @@ def write_blocks(docs: DataFrame, columns: dict[str, str], label: str = "blocks"
             at = table.schema.get_field_index(names[-1])
             text = table.column(at).combine_chunks().cast(pa.large_string())
             table = table.set_column(at, names[-1], text.fill_null("") if text.null_count else text).combine_chunks()
-            row = [[(part << 32) | seq], [table.num_rows], [size], [pack(table.to_batches()[0])]]
+            row = [[(number << TASK_BITS + PLACE_BITS) | (part << PLACE_BITS) | seq], [table.num_rows], [size], [pack(table.to_batches()[0])]]
             held, size, seq = [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "n_docs", "n_bytes", "data"])
 
@@ -85,16 +90,7 @@ def write_blocks(docs: DataFrame, columns: dict[str, str], label: str = "blocks"
             yield flush()
 
     src = docs.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
-    return cut(src.mapInArrow(run, BLOCK_SCHEMA), label)
-
-
-def bucket_bits(blocks: DataFrame, per_byte: float) -> int:
-    """Leading bits that give buckets of BUCKET_ENTRIES entries, at per_byte entries to a byte of text."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = 0
-    while total * per_byte > BUCKET_ENTRIES << bits and bits < 30:
-        bits += 1
-    return max(bits, 4)
+    return cut(src.mapInArrow(run, BLOCK_SCHEMA), label, path=path)
 
 
 def split_at(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

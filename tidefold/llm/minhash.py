@@ -184,6 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns: one document of each group, and rows of null id."""
     found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    kept = cut(found.where("kept and id is not null").select("id").distinct(), "kept").withColumnRenamed("id", "kept_id_")
-    solid = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("kept_id_"), "left_semi")
+    kept = cut(found.where("kept and id is not null").select("id").distinct(), "kept")
+    name = "id"
+    while name in docs.columns:  # no name of docs' own
+        name += "_"
+    kept = kept.withColumnRenamed("id", name)
+    solid = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col(name), "left_semi")
     return solid.unionByName(docs.where(F.col(id_col).isNull()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,17 +91,31 @@ def score(t: str, kind: str, start: int, end: int) -> float:
     return min(1.0, PRIOR[kind] + BOOST * any(w in words for w in CONTEXT[kind]))
 
 
+def _union(found: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what some spans cover, in order and without overlap."""
+    starts, ends = [], []
+    for _, a, b in sorted(found, key=lambda x: x[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def spans(t: str) -> list[tuple[str, int, int, float]]:
     """All spans with their scores: the base ones whatever their score, others that reach THRESHOLD and overlap none."""
     found = base_spans(t)
-    taken = [(a, b) for _, a, b in found]
+    starts, ends = _union(found)
     for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("tel", _TEL)):
         for m in pattern.finditer(t):
             a, b = m.span()
             if kind == "iban" and not (15 <= len(x := m.group().replace(" ", "")) <= 34 and mod97(x)):
                 continue
-            if score(t, kind, a, b) >= THRESHOLD and not any(a < y and x < b for x, y in taken):
-                taken.append((a, b))
+            at = bisect_right(ends, a)
+            if (at == len(ends) or starts[at] >= b) and score(t, kind, a, b) >= THRESHOLD:
+                starts.insert(at, a)
+                ends.insert(at, b)
                 found.append((kind, a, b))
     return [(k, a, b, score(t, k, a, b)) for k, a, b in found]
 
@@ -146,20 +161,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(_find, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) with each span replaced by its kind in angle brackets; null text stays null."""
+def redacted(t: str) -> str:
+    """A text with each stretch that spans cover replaced by the kind of the one that begins it (of equal ones the first kind
+    found), in angle brackets."""
+    found = [x[:3] for x in spans(t)]
+    kind = {}
+    for k, a, _ in found:
+        kind.setdefault(a, k)
+    out, at = [], 0
+    for a, b in zip(*_union(found), strict=True):
+        out += [t[at:a], f"<{kind[a]}>"]
+        at = b
+    return "".join([*out, t[at:]])
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the personal data of one column redacted, all other columns and rows as they are. Null and empty texts stay
+    so; ids aren't looked at, and repeated rows come out alike. No shuffle."""
+    kind = docs.schema[text_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                if t:
-                    last = len(t) + 1
-                    for k, a, b, _ in sorted(spans(t), key=lambda x: (-x[1], x[2])):
-                        if b <= last:
-                            t, last = f"{t[:a]}<{k}>{t[b:]}", a
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
+            at = batch.schema.get_field_index(text_col)
+            out = pa.array([redacted(t) if t else t for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), out)
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, text string")
+    if kind.simpleString() != "string":
+        raise TypeError(f"{text_col} is no text")
+    return docs.mapInArrow(run, docs.schema)

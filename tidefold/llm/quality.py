@@ -25,18 +25,24 @@ for _span, _script in (((65, 91), 0), ((97, 123), 0), ((0xC3, 0xCA), 0), ((0xCE,
 
 @dataclass(frozen=True)
 class Band:
-    """What a text of some script may be; texts under min_tokens are too short to judge."""
+    """What a text of some group may be."""
 
     chars_low: float  #: characters per token
     chars_high: float
     fallback_high: float  #: share of tokens that are no whole characters
     entropy_low: float  #: bits per token
-    min_tokens: int = 40
 
 
-#: Wide bands: prose of a script lies well inside, whatever its language. A byte-level vocabulary made for English
-#: gives other scripts fewer characters per token and more fragments.
-BANDS = {
+#: Texts under so many tokens are too short to judge; a band holds for texts from one of these sizes to the next.
+MIN_TOKENS = 40
+SIZES = (MIN_TOKENS, 120, 360, 1080)
+#: Documents that bands are fitted on, about; fewer than LEAST of a group and size leave it the wide band.
+SAMPLE_DOCS, LEAST = 20_000, 50
+#: A band reaches so many interquartile ranges beyond the quartiles, and this far at least.
+REACH, NARROWEST = 3.0, {"chars_per_token": 0.0, "fallback_share": 0.02, "token_entropy": 0.0}
+#: For groups too rare to fit: prose of a script lies well inside, whatever its language. A byte-level vocabulary made for
+#: English gives other scripts fewer characters per token and more fragments.
+WIDE = {
     "latin": Band(1.75, 8.0, 0.25, 3.5),
     "greek": Band(0.6, 6.0, 0.9, 3.0),
     "cyrillic": Band(0.6, 6.0, 0.9, 3.0),
@@ -45,6 +51,11 @@ BANDS = {
     "east_asian": Band(0.25, 5.0, 1.0, 2.5),
     "other": Band(0.2, 8.0, 1.0, 2.5),
 }
+Bands = dict[tuple[str, int], Band]
+
+
+def size_class(n_tokens: np.ndarray) -> np.ndarray:
+    return np.searchsorted(SIZES, n_tokens, "right")
 
 
 def base_measures(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -113,11 +124,57 @@ def fertility(texts: pa.Array, enc, fragment: np.ndarray) -> dict[str, np.ndarra
     return {"n_tokens": count, "chars_per_token": chars / some, "fallback_share": share, "token_entropy": np.maximum(entropy, 0.0), "script": tally.argmax(axis=1)}
 
 
-def within_bands(f: dict[str, np.ndarray], bands: dict[str, Band]) -> np.ndarray:
-    b = [bands[s] for s in SCRIPTS]
-    low, high, share, bits, least = (np.array([getattr(x, k) for x in b])[f["script"]] for k in ("chars_low", "chars_high", "fallback_high", "entropy_low", "min_tokens"))
+def groups_of(f: dict[str, np.ndarray], given: pa.Array | None) -> list[str]:
+    """Each text's group: what is given, such as its language, or else its main script."""
+    scripts = [SCRIPTS[s] for s in f["script"]]
+    return scripts if given is None else [g if g is not None else s for g, s in zip(given.to_pylist(), scripts, strict=True)]
+
+
+def within_bands(f: dict[str, np.ndarray], bands: Bands, given: pa.Array | None = None) -> np.ndarray:
+    size = size_class(f["n_tokens"]).tolist()
+    b = [bands.get((g, k)) or WIDE[SCRIPTS[s]] for g, k, s in zip(groups_of(f, given), size, f["script"], strict=True)]
+    low, high, share, bits = np.array([(x.chars_low, x.chars_high, x.fallback_high, x.entropy_low) for x in b]).reshape(-1, 4).T
     good = (f["chars_per_token"] >= low) & (f["chars_per_token"] <= high) & (f["fallback_share"] <= share) & (f["token_entropy"] >= bits)
-    return good | (f["n_tokens"] < least)
+    return good | (f["n_tokens"] < MIN_TOKENS)
+
+
+def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
+    return (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
+
+
+def fit_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, special_as_text: bool = False) -> Bands:
+    """A band for each group (language, or script) and size class, from the quartiles of the documents that the base rules keep: of
+    all, or of about SAMPLE_DOCS whose hashed id is least. No documents: no bands."""
+    total = docs.count()
+    part = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total))))
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, special_as_text)
+        fragment = _fragments(enc)
+        for batch in batches:
+            for some in tx.blocks(batch, "text"):
+                some = some.filter(pa.array(~base_failed(base_measures(some.column(1)))))
+                if some.num_rows:
+                    f = fertility(some.column(1), enc, fragment)
+                    cols = [pa.array(groups_of(f, some.column(0)), pa.string()), pa.array(size_class(f["n_tokens"]), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array(f[k], pa.float64()) for k in MEASURES)], names=["group", "size", *MEASURES])
+
+    src = part.select((F.col(group_col) if group_col else F.lit(None)).cast("string").alias("group"), F.col(text_col).cast("string").alias("text"))
+    rows = src.mapInArrow(run, "group string, size int, chars_per_token double, fallback_share double, token_entropy double").where("size > 0").collect()
+    found: dict[tuple[str, int], list] = {}
+    for r in rows:
+        found.setdefault((r["group"], r["size"]), []).append(r[2:])
+    return {k: _band(np.array(v)) for k, v in found.items() if len(v) >= LEAST}
+
+
+MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+
+
+def _band(x: np.ndarray) -> Band:
+    low, high = np.quantile(x, (0.25, 0.75), axis=0)
+    reach = np.maximum(REACH * (high - low), [NARROWEST[m] for m in MEASURES])
+    return Band(float(low[0] - reach[0]), float(high[0] + reach[0]), float(high[1] + reach[1]), float(low[2] - reach[2]))
 
 
 def _fragments(enc) -> np.ndarray:
@@ -140,56 +197,53 @@ def _fragments(enc) -> np.ndarray:
     return out
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, carry: tuple[str, ...] = (), special_as_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, bands: Bands | None = None, special_as_text: bool = False) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_tokens, chars_per_token,
-    fallback_share, token_entropy, script) for every row of docs, after the columns in `carry` as carried_0, carried_1, ...;
-    one pass, no shuffle.
+    fallback_share, token_entropy, script) for every row of docs; no shuffle. Ids are numbers.
 
     base_failed: under 20 words, or over 30% of the words in 8-word windows that the text repeats. Otherwise a text
-    is kept if its fertility lies within the band of its main script; one of under min_tokens tokens is kept.
-    Null or empty text has no words and fails. A null id is kept as it is. Other columns are ignored.
+    is kept if its fertility lies within the band of its group and size: `bands`, or those that fit_bands finds in docs. Groups
+    are those of group_col, such as a language, or the main script where that is null or not given. Texts of under MIN_TOKENS
+    tokens are kept. Null or empty text has no words and fails. A null id is kept as it is, and repeated rows are judged
+    each. No rows: none. Other columns are ignored.
     """
-    path, bands = vocabulary or default_vocabulary(), bands or BANDS
+    path, bands = vocabulary or default_vocabulary(), fit_bands(docs, id_col, text_col, group_col, vocabulary, special_as_text) if bands is None else bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, special_as_text)
         fragment = _fragments(enc)
         for batch in batches:
             for part in tx.blocks(batch, "text"):
-                texts = part.column(part.num_columns - 1)
-                base, f = base_measures(texts), fertility(texts, enc, fragment)
-                failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
-                cols = [*part.columns[:-1], *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(~failed & within_bands(f, bands))]
-                cols += [pa.array(f["n_tokens"], pa.int64()), *(pa.array(f[k], pa.float64()) for k in ("chars_per_token", "fallback_share", "token_entropy"))]
+                base, f = base_measures(part.column(2)), fertility(part.column(2), enc, fragment)
+                failed = base_failed(base)
+                cols = [part.column(0), *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(~failed & within_bands(f, bands, part.column(1)))]
+                cols += [pa.array(f["n_tokens"], pa.int64()), *(pa.array(f[k], pa.float64()) for k in MEASURES)]
                 cols.append(pa.array([SCRIPTS[s] for s in f["script"]], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    # the operator's own columns follow the carried ones under positions, so no name can clash on the way
-    src = docs.select(*(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = ", ".join(f"carried_{k} {src.schema[f'carried_{k}'].dataType.simpleString()}" for k in range(len(carry)))
-    schema = (held + ", " if held else "") + (
+    schema = (
         "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
         "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string"
     )
     names = [c.split()[0] for c in schema.split(", ")]
-    return src.mapInArrow(run, schema)
+    group = (F.col(group_col) if group_col else F.lit(None)).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), group.alias("group"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, bands: dict[str, Band] | None = None, special_as_text: bool = False) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns; no shuffle and no join."""
-    path, bands = vocabulary or default_vocabulary(), bands or BANDS
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, bands: Bands | None = None, special_as_text: bool = False) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns; no shuffle and no join. Null and empty texts go,
+    repeated rows stay or go together, and null ids are kept as they are."""
+    path, bands = vocabulary or default_vocabulary(), fit_bands(docs, id_col, text_col, group_col, vocabulary, special_as_text) if bands is None else bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, special_as_text)
         fragment = _fragments(enc)
         for batch in batches:
             for part in tx.blocks(batch, text_col):
-                texts = part.column(part.schema.get_field_index(text_col))
-                base = base_measures(texts)
-                good = (base["n_words"] >= 20) & (100 * base["n_repeat_words"] <= 30 * base["n_words"])
-                part = part.filter(pa.array(good))
+                part = part.filter(pa.array(~base_failed(base_measures(part.column(part.schema.get_field_index(text_col))))))
                 if part.num_rows:
-                    texts = part.column(part.schema.get_field_index(text_col))
-                    yield part.filter(pa.array(within_bands(fertility(texts, enc, fragment), bands)))
+                    f = fertility(part.column(part.schema.get_field_index(text_col)), enc, fragment)
+                    given = part.column(part.schema.get_field_index(group_col)).cast(pa.string()) if group_col else None
+                    yield part.filter(pa.array(within_bands(f, bands, given)))
 
     return docs.mapInArrow(run, docs.schema)

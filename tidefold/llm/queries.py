@@ -48,7 +48,7 @@ def op6_contextmix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return quality_rules(_table(spark, sf_dir, "documents"), group_col="lang").withColumnRenamed("id", "doc_id")
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

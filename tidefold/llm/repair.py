@@ -21,12 +21,13 @@ from .scratch import new_path
 
 #: Ids to a shard, about; a longer document has a shard of its own.
 SHARD_IDS = 1 << 19
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 2048, 6
+#: A rule costs 12 bytes and saves 3 for each occurrence, so it is made from so many on.
+LEAST_COUNT = 6
 TERMINALS = 1 << 20
 #: Stands for a document's end in a sequence, as the end id may occur inside a text too.
 STOP = TERMINALS - 1
 SCHEMA = "part int, shard int, end_id int, n_ids long, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, low binary, high binary"
-_TAG_BITS = 18
+_TAG_BITS = 16
 
 
 def _lengths_of(s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -39,39 +40,31 @@ def _lengths_of(s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules as pairs of symbols, expansion lengths). Symbol TERMINALS + k stands for rule k.
 
-    Each round counts all adjacent pairs, makes rules of the most frequent ones together, and replaces
-    occurrences left to right; where replaceable pairs overlap, every other one of the run is taken.
+    Each round counts all adjacent pairs, makes rules of those at least a tenth as frequent as the most frequent one, and
+    replaces their occurrences left to right; where they overlap, every other one of the run is taken. It ends when no
+    pair comes LEAST_COUNT times.
     """
     s = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
     lengths = np.zeros(0, np.uint32)
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         key = (s[:-1].astype(tx.U64) << tx.U64(32)) | s[1:]
-        ends = (s[:-1] == STOP) | (s[1:] == STOP)
-        ordered = np.sort(key[~ends])
-        if not len(ordered):
-            break
-        bounds = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-        count = np.diff(bounds)
-        good = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(good):
+        ordered = np.sort(key)
+        bounds = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+        pairs = ordered[bounds[:-1]]
+        left, right = pairs >> tx.U64(32), pairs & tx.U64(0xFFFFFFFF)
+        count = np.where((left != STOP) & (right != STOP), np.diff(bounds), 0)
+        if count.max() < LEAST_COUNT:
             break
-        if len(good) > RULES_PER_ROUND:
-            good = good[np.argsort(-count[good], kind="stable")[:RULES_PER_ROUND]]
-        pairs = ordered[bounds[good]]
+        pairs = pairs[count >= max(LEAST_COUNT, count.max() // 10)]
         tag = lambda k: ((k * tx.U64(0x9E3779B97F4A7C15)) >> tx.U64(64 - _TAG_BITS)).astype(np.int64)
         table = np.full(1 << _TAG_BITS, -1, np.int32)
-        tags = tag(pairs)
-        table[tags] = np.arange(len(pairs), dtype=np.int32)
-        won = table[tags] == np.arange(len(pairs))  # pairs that share a tag wait for another round
-        rule = table[tag(key)]
-        hit = (rule >= 0) & ~ends
-        hit[hit] = pairs[rule[hit]] == key[hit]
-        at = np.flatnonzero(hit)
-        if not len(at) or not won.any():
-            break
+        table[tag(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        pairs = pairs[table[tag(pairs)] == np.arange(len(pairs))]  # others that share a tag wait for another round
+        table[tag(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        rule = table.take(tag(key))
+        at = np.flatnonzero(rule >= 0)
+        at = at[pairs[rule[at]] == key[at]]
         head = np.concatenate([[True], np.diff(at) != 1])
         run = at[head][np.cumsum(head) - 1]
         at = at[(at - run) % 2 == 0]
@@ -85,6 +78,24 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s, rules, lengths
 
 
+def needed(s: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same sequence with those rules only that its expansion takes."""
+    held, more = np.zeros(len(rules), bool), np.unique(s[s >= TERMINALS] - np.uint32(TERMINALS))
+    while len(more):
+        held[more] = True
+        below = rules[more].ravel()
+        more = np.unique(below[below >= TERMINALS] - np.uint32(TERMINALS))
+        more = more[~held[more]]
+    place = (np.cumsum(held) - 1 + TERMINALS).astype(np.uint32)
+
+    def renamed(x: np.ndarray) -> np.ndarray:
+        out = x.copy()
+        out[x >= TERMINALS] = place[x[x >= TERMINALS] - TERMINALS]
+        return out
+
+    return renamed(s), renamed(rules[held]), lengths[held]
+
+
 def expand(s: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The ids of a sequence, or of any slice of one."""
     start = np.cumsum(lengths, dtype=np.int64) - lengths
@@ -166,11 +177,11 @@ def decode_row(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_ids(row: dict, k: int) -> np.ndarray:
-    """The ids of document k of a shard alone: random access without decoding the others."""
+    """The ids of document k of a shard alone: random access, by the rules that it takes and no others."""
     a = int(np.sum(row["doc_symbols"][:k]))
     b = a + int(row["doc_symbols"][k])
     s = np.frombuffer(row["low"][2 * a : 2 * b], "<u2").astype(np.uint32) | (np.frombuffer(row["high"][a:b], np.uint8).astype(np.uint32) << np.uint32(16))
-    ids = expand(s, np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), np.frombuffer(row["rule_lengths"], np.uint32))
+    ids = expand(*needed(s, np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), np.frombuffer(row["rule_lengths"], np.uint32)))
     ids[ids == STOP] = row["end_id"]
     return ids
 
@@ -211,7 +222,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """write_tokens then read_tokens; without a path the files go to the shared folder."""
+    """write_tokens then read_tokens; without a path the files go to the shared folder. Null and empty texts are the end id
+    alone; null ids come first; repeated rows are encoded each; no rows give none. Ids are numbers."""
     path = path or new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, **options)
     return read_tokens(docs.sparkSession, path)

@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in local tests.
-FALLBACK = "/tmp/checkpoints/tidefold"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, FALLBACK becomes it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            where = held.get()
-        else:
-            where = FALLBACK
-            spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+from ..sources.files import Files, shared_path
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidefold-{label}-{uuid.uuid4().hex}"
+    return shared_path(spark, label)
 
 
-def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str, by: str | None = None, path: str | None = None) -> DataFrame:
     """df as written to the shared folder, in folders by a column if given, and read again: a lost executor costs no
-    recomputation."""
+    recomputation. path: replaces what is there, instead of a new folder."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.mode("overwrite") if path else df.write
+    path = path or new_path(spark, label)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidefold_path = path
     return out
@@ -43,11 +28,4 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_tidefold_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def parts(spark: SparkSession) -> int:
-    """The number of shuffle partitions the session is sized for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+            Files(df.sparkSession).delete(path)
