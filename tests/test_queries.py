@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import compare, connect
-from tidefold.plans import queries
+from tidefold.plans import job_queries, queries  # noqa: F401  both fill the same tables
 
 SF = "/root/testdata/sf0.001"
 

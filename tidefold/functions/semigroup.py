@@ -90,7 +90,7 @@ list_concat = Semigroup(
 )
 average = Semigroup(
     "average",
-    lambda x, o: F.struct(o(F.sum(x["s"])).alias("s"), o(F.sum(x["n"])).alias("n")),
+    lambda x, o: F.when(o(F.count(x)) > 0, F.struct(o(F.sum(x["s"])).alias("s"), o(F.sum(x["n"])).alias("n"))),
     lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n")),
     lambda v, ts, seq: F.struct(v.alias("s"), F.lit(1).cast("long").alias("n")),
     lambda x: x["s"] / x["n"],
@@ -146,11 +146,11 @@ def option(s: Semigroup) -> Semigroup:
 
 
 def tuple_of(**parts: Semigroup) -> Semigroup:
-    """Values are structs with these fields, each added by its own semigroup."""
+    """Values are structs with these fields, each added by its own semigroup; no sketches among them."""
     each = parts.items()
     return Semigroup(
         "tuple(" + ",".join(s.name for s in parts.values()) + ")",
-        lambda x, o: F.struct(*(s.agg(x[n], o).alias(n) for n, s in each)),
+        lambda x, o: F.when(o(F.count(x)) > 0, F.struct(*(s.agg(x[n], o).alias(n) for n, s in each))),
         lambda a, b: F.struct(*(s.add(a[n], b[n]).alias(n) for n, s in each)),
         lambda v, ts, seq: F.struct(*(s.lift(v[n], ts, seq).alias(n) for n, s in each)),
         lambda x: F.struct(*(s.present(x[n]).alias(n) for n, s in each)),

@@ -44,11 +44,10 @@ def deltas(df: DataFrame, batcher: Batcher, semigroup: Semigroup, reducers: int
 def _sum_entries(rows: DataFrame) -> DataFrame:
     """Maps of numbers summed entry by entry, so that equal ones meet on the map side: one map per key and batch.
     Where all maps are empty or null an empty one, or null, stays."""
-    kind = rows.schema["x"].dataType
     each = rows.select("key", "batch_id", "ts_ms", F.col("x").isNotNull().alias("some"), F.explode_outer("x").alias("k", "n"))
     sums = each.groupBy("key", "batch_id", "k").agg(F.max("ts_ms").alias("ts_ms"), F.max("some").alias("some"), F.sum("n").alias("n"))
     whole = sums.groupBy("key", "batch_id").agg(F.max("ts_ms").alias("ts_ms"), F.max("some").alias("some"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n")))).alias("e"))
-    return whole.select("key", "batch_id", "ts_ms", F.when(F.col("some"), F.map_from_entries("e")).cast(kind).alias("x"))
+    return whole.select("key", "batch_id", "ts_ms", F.when(F.col("some"), F.map_from_entries("e")).alias("x"))
 
 
 def _combined(rows: DataFrame, plus) -> DataFrame:

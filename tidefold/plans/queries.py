@@ -160,12 +160,6 @@ def also_two_stores(spark, d):
     return each[0].unionByName(each[1])
 
 
-@query(E_SQL + " SELECT key, CAST(sum(x) AS BIGINT) AS total FROM (SELECT key, unnest([cents, cents * 10]) AS x FROM e) GROUP BY key")
-def diamond(spark, d):
-    """Two maps of one flow, merged: a single scan, as one flat map of both."""
-    return events(spark, d).flat_map_values(lambda v: F.array(v, v * 10)).sums(tm.UnitBatcher(), sg.sum_).select("key", F.col("delta").alias("total"))
-
-
 @query("SELECT o_orderkey AS value, o_custkey AS key, c_name AS joined FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def left_join_unique(spark, d):
     orders = Flow.source(_table(spark, d, "orders"), "o_orderdate", "o_orderkey", key="o_custkey")
@@ -222,9 +216,9 @@ def left_join_store(spark, d):
 
 @query(ASOF + " SELECT l.key, l.seq, r.cents AS joined FROM l ASOF LEFT JOIN r ON l.key = r.key AND l.ts_ms > r.ts_ms")
 def left_join_flow(spark, d):
-    """A flow joined with another, which is written to a buffer as well."""
+    """A flow joined with another as of each row, by the default batcher."""
     left, right = events(spark, d, kind="purchase"), events(spark, d, kind="view")
-    return left.left_join(right, batcher=DAY).df.select("key", "seq", F.col("value.right").alias("joined"))
+    return left.left_join(right).df.select("key", "seq", F.col("value.right").alias("joined"))
 
 
 def _double_until(value, total):

@@ -96,7 +96,7 @@ class Source:
         df = self.read(spark, wide)
         out = df.withColumn("ts_ms", to_ms(self.ts, self.ts_type))
         seq = F.xxhash64(F.to_json(F.struct(*df.columns))) if self.seq is None else (F.col(self.seq) if isinstance(self.seq, str) else self.seq).cast("long")
-        return out.withColumn("seq", seq).where((interval & self.available).condition())
+        return out.withColumn("seq", seq).where((interval if interval == Interval() else interval & self.available).condition())
 
     def mapped(self, f: Callable[[DataFrame], DataFrame]) -> Source:
         """Edit the rows before time is taken: parse and so on."""

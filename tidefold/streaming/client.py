@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semigroup import Semigroup
+from ..operators.summing import deltas, join_same
 
 
 def read(
@@ -34,7 +35,7 @@ def read(
     out = keys.select("key").distinct()
     none = F.lit(None)
     if offline is not None:
-        out = out.join(offline.select("key", "batch_excl", "total"), "key", "left")
+        out = join_same(out, offline.select("key", "batch_excl", "total"), ["key"], "left")
     else:
         kind = online.schema["delta"].dataType
         out = out.withColumn("batch_excl", none.cast("long")).withColumn("total", none.cast(kind))
@@ -43,11 +44,11 @@ def read(
         ready = online.where(F.col("batch_id") <= now).select("key", "batch_id", "delta")
         if offline is None or keep:
             wanted = out.select("key", start.alias("start_"))
-            ready = ready.where(F.col("batch_id") >= now - keep + 1).join(wanted, "key").where(F.col("batch_id") >= F.coalesce("start_", F.lit(now - keep + 1)))
+            ready = join_same(ready.where(F.col("batch_id") >= now - keep + 1), wanted, ["key"], "inner").where(F.col("batch_id") >= F.coalesce("start_", F.lit(now - keep + 1)))
         if online_keys is not None:
             ready = ready.where(online_keys(F.col("key")))
         recent = ready.groupBy("key").agg(semigroup.total(F.col("delta")).alias("recent"))
-        out = out.join(recent, "key", "left")
+        out = join_same(out, recent, ["key"], "left")
         total = semigroup.add(F.col("total"), F.col("recent"))
     else:
         total = F.col("total")
@@ -56,22 +57,20 @@ def read(
         error = F.coalesce(error, F.when(F.col("batch_excl") < now - keep + 1, F.lit("batches between the offline total and the online ones are missing")))
     for side, failed in (("offline", offline_failed), ("online", online_failed)):
         if failed is not None:
-            out = out.join(failed.select("key", F.lit(True).alias(f"{side}_failed")).distinct(), "key", "left")
+            out = join_same(out, failed.select("key", F.lit(True).alias(f"{side}_failed")).distinct(), ["key"], "left")
             error = F.coalesce(error, F.when(F.col(f"{side}_failed"), F.lit(f"the {side} lookup failed")))
     return out.select("key", F.when(error.isNull(), semigroup.present(total)).alias("value"), error.alias("error"))
 
 
-def merge(deltas: DataFrame, semigroup: Semigroup, offline: DataFrame | None, online: DataFrame | None, keep: int = 1) -> DataFrame:
+def merge(new: DataFrame, semigroup: Semigroup, offline: DataFrame | None, online: DataFrame | None, keep: int = 1) -> DataFrame:
     """(key, batch_id, prev, delta) of new deltas (key, batch_id, delta): prev is the whole total before each, offline
     and earlier online batches included; several batches of a key are taken in order."""
-    from pyspark.sql import Window
-
-    lined = deltas.select("key", "batch_id", "delta", F.lit(1).alias("new_"))
+    lined = new.select("key", "batch_id", "delta", F.lit(1).alias("new_"))
     if online is not None:
-        held = online.join(deltas.select("key").distinct(), "key", "left_semi").select("key", "batch_id", "delta", F.lit(0).alias("new_"))
+        held = join_same(online, new.select("key").distinct(), ["key"], "left_semi").select("key", "batch_id", "delta", F.lit(0).alias("new_"))
         lined = lined.unionByName(held)
     if offline is not None:
-        lined = lined.join(offline.select("key", "batch_excl", "total"), "key", "left").where("new_ = 1 or batch_excl is null or batch_id >= batch_excl")
+        lined = join_same(lined, offline.select("key", "batch_excl", "total"), ["key"], "left").where("new_ = 1 or batch_excl is null or batch_id >= batch_excl")
     # rows of one key and batch: what is stored comes before what is new
     before = Window.partitionBy("key").orderBy("batch_id", "new_").rowsBetween(Window.unboundedPreceding, -1)
     prev = semigroup.running(F.col("delta"), before)
@@ -79,3 +78,13 @@ def merge(deltas: DataFrame, semigroup: Semigroup, offline: DataFrame | None, on
     if offline is not None:
         out = out.withColumn("prev", semigroup.add(F.col("total"), F.col("prev")))
     return out.where("new_ = 1").select("key", "batch_id", semigroup.present(F.col("prev")).alias("prev"), semigroup.present(F.col("delta")).alias("delta"))
+
+
+def merge_into(store, df: DataFrame, epoch: int, writer: str = "client", offline: DataFrame | None = None) -> DataFrame:
+    """Merge rows (ts_ms, seq, key, value) into an online store, and return (key, batch_id, prev, delta) with prev the whole
+    total before each, offline and online. The same epoch again replaces what it wrote and returns the same."""
+    before = store.read(without=(writer, epoch))
+    new = deltas(df, store.batcher, store.semigroup).persist()
+    out = merge(new, store.semigroup, offline, before)
+    store.add(df, epoch, writer)
+    return out
