@@ -181,7 +181,9 @@ def _emit(word_bits: int, guess_bits: int, held: int):
                     order = np.argsort(cf)
                     cf, mine = cf[order], learnt[t.doc[at]][order]
                     head = _heads(cf)
-                    yield rows(1, block, cf[head], guess_bits, [_add_at(mine.astype(np.int64), head).astype(np.uint32)])
+                    n = _add_at(mine.astype(np.int64), head)
+                    whole = n < np.diff(np.append(head, len(cf)))  # a document that isn't learnt from asks
+                    yield rows(1, block, cf[head], guess_bits, [n.astype(np.uint32), whole.astype(np.uint8)])
 
     return run
 
@@ -243,9 +245,10 @@ def _guesses_of(rows: list[dict]) -> list[dict]:
     out, begin = [], 0
     for r, mine in zip(rows, hs, strict=True):
         head = _heads(mine >> tx.U64(16))
-        where, own = context[begin + head], _add_at(n[begin : begin + len(mine)], head)
+        where, whole = context[begin + head], np.maximum.reduceat(stretch(r["p1"], np.uint8), head)
         begin += len(mine)
-        told = np.flatnonzero((total[where] > 1) | ((total[where] == 1) & (own == 0)))
+        # the one occurrence of a document that is learnt from tells that document nothing
+        told = np.flatnonzero((total[where] > 1) | ((total[where] == 1) & (whole > 0)))
         if len(told):
             g = where[told]
             out.append({"kind": 1, "bucket": r["bucket"], "block": r["block"], "a": squeeze(told.astype(np.uint32)), "b": squeeze(first[g]), "c": squeeze(second[g]), "d": squeeze(total[g])})
@@ -286,7 +289,7 @@ def guess_keys(t: Tokens, learnt: np.ndarray, told: list[dict], bits: int) -> tu
     has = n > 0
     hit = has & (guess == f)
     outcome = np.zeros(len(t.hash), np.int64)
-    outcome[at] = has + hit
+    outcome[at] = has.astype(np.int64) + hit
     right[at] = hit
     pos = np.arange(len(t.hash)) - t.first[t.doc]
     hist = np.zeros(len(t.hash), np.int64)
