@@ -11,7 +11,6 @@ from tidefold.functions import semigroup as sg
 from tidefold.functions import time as tm
 from tidefold.operators.flow import Flow
 from tidefold.operators.service import AsOfService, DeltaService, UniqueService, WindowService, loop_join
-from tidefold.operators.summing import deltas
 
 TEN = tm.FixedBatcher(10)
 
@@ -48,6 +47,8 @@ CASES = {
     "list": (sg.list_concat, "long", st.integers(-9, 9), lambda a, b: a + b, lambda v: [v]),
     "set": (sg.set_union, "array<long>", st.lists(st.integers(0, 5), max_size=3), lambda a, b: sorted({*a, *b}), lambda v: sorted(set(v))),
     "map": (sg.map_sum, "map<string,long>", st.dictionaries(st.sampled_from("abc"), st.integers(0, 5)), lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}, lambda v: v),
+    "custom": (sg.custom("join", lambda a, b: a + b, "string"), "string", st.sampled_from("abc"), lambda a, b: a + b, lambda v: v),
+    "tuple": (sg.tuple_of(a=sg.min_, b=sg.average), "struct<a:long,b:long>", st.tuples(st.integers(0, 5), st.integers(0, 5)), None, None),
     "fold": (sg.fold("join", lambda a, b: F.concat(a, b)), "string", st.sampled_from("abc"), lambda a, b: a + b, lambda v: v),
 }
 
@@ -57,10 +58,15 @@ def test_sum_by_key_matches_the_model(spark, name):
     semigroup, kind, values, plus, lift = CASES[name]
 
     @given(rows=rows_strategy(values))
-    @settings(max_examples=2, deadline=None)
+    @settings(max_examples=25, deadline=None)
     def law(rows):
         got = {(r["key"], r["batch_id"]): (r["ts_ms"], r["prev"], r["delta"]) for r in flow(spark, rows, kind).sums(TEN, semigroup).collect()}
-        assert got == model(rows, plus, lift)
+        if plus is not None:
+            assert got == model(rows, plus, lift)
+            return
+        want = model(rows, lambda a, b: (min(a[0], b[0]), a[1] + b[1], a[2] + b[2]), lambda v: (*v, 1))
+        shown = lambda x: None if x is None else (x[0], x[1] / x[2])
+        assert {k: (t, p and tuple(p), tuple(d)) for k, (t, p, d) in got.items()} == {k: (t, shown(p), shown(d)) for k, (t, p, d) in want.items()}
 
     law()
 
@@ -75,10 +81,31 @@ def test_record_granularity_telescopes(spark):
     assert len(got) == len(rows)
 
 
-def test_python_semigroup(spark):
-    rows = [(1, 0, 1, 6), (2, 1, 1, 3), (11, 2, 1, 4)]
-    got = {(r["key"], r["batch_id"]): r["delta"] for r in flow(spark, rows).sums(TEN, sg.custom("xor", lambda a, b: int(a) ^ int(b), "long")).collect()}
-    assert got == {(1, 0): 5, (1, 1): 4}
+@pytest.mark.parametrize("commutative", [False, True])
+def test_python_semigroup_with_null_values_and_keys(spark, commutative):
+    rows = [(1, 0, 1, 6), (2, 1, 1, 3), (3, 2, 1, None), (11, 3, 1, 4), (1, 4, None, 9), (2, 5, None, 1), (1, 6, 2, None)]
+    xor = sg.custom("xor", lambda a, b: a ^ b, "long", commutative)
+    got = {(r["key"], r["batch_id"]): (r["prev"], r["delta"]) for r in flow(spark, rows).sums(TEN, xor).collect()}
+    assert got == {(1, 0): (None, 5), (1, 1): (5, 4), (None, 0): (None, 8), (2, 0): (None, None)}
+
+
+def test_sketches(spark):
+    rows = [(t, t, t % 2, t % 7) for t in range(60)]
+    got = {r["key"]: (r["d"], list(r["q"])) for r in flow(spark, rows).sums(tm.UnitBatcher(), sg.approx_distinct).select("key", F.col("delta").alias("d")).join(flow(spark, rows).sums(tm.UnitBatcher(), sg.quantiles).select("key", F.col("delta").alias("q")), "key").collect()}
+    assert got == {0: (7, [1, 3, 5]), 1: (7, [1, 3, 5])} or all(v[0] == 7 and 2 <= v[1][1] <= 4 for v in got.values())
+    counts = flow(spark, rows).sums(tm.UnitBatcher(), sg.frequencies()).where("key = 0")
+    assert counts.select(sg.frequency_of(F.col("delta"), F.lit(0).cast("long"))).first()[0] == 5
+    assert counts.select(sg.frequency_of(F.col("delta"), F.lit(99).cast("long"))).first()[0] == 0
+    with pytest.raises(ValueError):
+        flow(spark, rows).sums(TEN, sg.approx_distinct, "record")
+    assert sg.option(sg.custom("xor", lambda a, b: a ^ b, "long")).python
+
+
+def test_rows_of_equal_time_are_ordered_by_value_where_no_order_is_given(spark):
+    df = spark.createDataFrame([(1, 7, "b", {"x": 1}), (1, 7, "a", {"y": 2}), (1, 7, "c", {})], "t long, k long, v string, m map<string,long>")
+    for value in ("v", "m"):
+        one, two = (Flow.source(d, "t", value, "k", ts_type="bigint").df.select("seq", F.col("value").cast("string")).collect() for d in (df, df.orderBy(F.desc("v"))))
+        assert sorted(one) == sorted(two) and len({r["seq"] for r in one}) == 3
 
 
 def test_expanded_keys_equal_the_plain_plan(spark):
@@ -105,11 +132,11 @@ def test_lookup_comes_before_write_at_equal_time_and_deletes_count(spark):
     assert got == {0: 100, 1: 10, 2: 10, 3: None, 4: 30, 5: 30, 6: 7}
 
 
-def test_unique_join_of_three_rows(spark):
-    rows = [(1001, 0, 1001, 300), (1003, 0, 1002, 200), (1003, 0, 1003, 400)]
-    right = spark.createDataFrame([(1002, "b-1002"), (1001, "a-1001")], "key long, value string")
+def test_unique_join_keeps_every_left_row(spark):
+    rows = [(10, 0, 4, 7), (20, 1, 5, 8), (20, 2, 4, 9), (30, 3, 6, 1)]
+    right = spark.createDataFrame([(5, "five"), (4, "four"), (9, "nine")], "key long, value string")
     got = sorted((r["ts_ms"], r["key"], r["value"]["left"], r["value"]["right"]) for r in flow(spark, rows).left_join(UniqueService(right)).df.collect())
-    assert got == [(1001, 1001, 300, "a-1001"), (1003, 1002, 200, "b-1002"), (1003, 1003, 400, None)]
+    assert got == [(10, 4, 7, "four"), (20, 4, 9, "four"), (20, 5, 8, "five"), (30, 6, 1, None)]
 
 
 def test_loop_join_keeps_its_total(spark):

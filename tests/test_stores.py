@@ -97,6 +97,8 @@ def test_checkpoint_state(spark, tmp_path):
         CheckpointState(spark, path, B20, 7).begin()
     s = CheckpointState(spark, path, B20, 0, 2)
     p = s.begin()
+    with pytest.raises(Refused):
+        CheckpointState(spark, path, B20, 0, 2).begin()  # another process
     assert p.requested == Interval(0, 40)
     with pytest.raises(Refused):
         s.begin()
@@ -105,11 +107,17 @@ def test_checkpoint_state(spark, tmp_path):
     with pytest.raises(Refused):
         s.begin().will_accept(Interval(0, 25))
     s.begin().will_accept(Interval(0, 20)).succeed()
-    assert s.begin().requested == Interval(20, 60)
+    again = s.begin()
+    assert again.requested == Interval(20, 60)
+    again.fail()
     with pytest.raises(Refused):
         CheckpointState(spark, path, B20, 60).begin()
     files.Files(spark).write(f"{path}/_other.version")
     assert CheckpointState(spark, path, B20).tokens() == [20]
+    assert s.begin().requested == Interval(20, 60)  # and dies
+    with pytest.raises(Refused):
+        CheckpointState(spark, path, B20).begin()
+    assert CheckpointState(spark, path, B20, takeover=True).begin().requested == Interval(20, 40)
 
 
 def test_job_command_line_and_failure(spark, tmp_path):
@@ -147,30 +155,38 @@ def test_sources_give_what_they_have(spark, tmp_path):
         paths.satisfiable(Interval(0, None))
 
 
-def test_counters(spark):
+def test_counters_of_a_run_and_of_micro_batches(spark, tmp_path):
     c = Counters("job", odd=lambda: F.col("value") % 2 == 1)
     c.watch(numbers(spark)).write.format("noop").mode("overwrite").save()
     assert c.values == {"rows": 100, "odd": 50}
-
-
-def test_hybrid_read_literal_table(spark):
-    offline = spark.createDataFrame([("a", 8, 1), ("b", 9, 1), ("c", 9, 1)], "key string, batch_excl long, total long")
-    ones = [("a", b) for b in (6, 7, 8, 10)] + [("c", b) for b in (6, 7, 8, 10)]
-    online = spark.createDataFrame([(k, b, 1) for k, b in ones] + [("f", 8, 2), ("f", 9, 3), ("f", 10, 4)], "key string, batch_id long, delta long")
-    keys = spark.createDataFrame([(k,) for k in "abcdef"], "key string")
-    failed = spark.createDataFrame([("f",)], "key string")
-    lost = spark.createDataFrame([("e",)], "key string")
-    got = {r["key"]: (r["value"], r["error"]) for r in client.read(keys, 10, sg.sum_, offline, online, keep=3, offline_failed=failed, online_failed=lost).collect()}
-    assert {k: v for k, (v, _) in got.items()} == {"a": 3, "b": 1, "c": 2, "d": None, "e": None, "f": None}
-    assert [k for k in "abcdef" if got[k][1]] == ["e", "f"]
-    ahead = client.read(keys, 7, sg.sum_, offline, online, keep=3).where("key = 'b'").first()
+    for k in range(3):
+        numbers(spark, 10).write.parquet(f"{tmp_path}/in/p={k}")
+    online, c = DeltaStore(spark, f"{tmp_path}/online", B20, sg.sum_), Counters("stream", odd=lambda: F.col("value") % 2 == 1)
+    stream = files.stream(f"{tmp_path}/in/*", SCHEMA, "ts_ms", max_files=1, ts_type="bigint", seq="seq")
+    job = Job(lambda f: Flow(f["n"].select("ts_ms", "seq", "key", "value")).transform(c.watch).sum_by_key(online), streams={"n": stream})
+    for q in job.start(spark, f"{tmp_path}/check", available_now=True):
+        q.awaitTermination()
+    assert c.values == {"rows": 30, "odd": 15}
+
+
+def test_hybrid_read_adds_the_two_layers(spark):
+    """Batch 20 is now, and four are kept: m has an offline total in the midst of them, n one that is older, p one right
+    before now; q is online only, r is in neither, s and t can't be looked up."""
+    offline = spark.createDataFrame([("m", 18, 100), ("n", 15, 200), ("p", 20, 300)], "key string, batch_excl long, total long")
+    online = spark.createDataFrame([(k, b, 1 << b - 15) for k in "mnpq" for b in range(15, 22)] + [("t", 19, 5)], "key string, batch_id long, delta long")
+    keys = spark.createDataFrame([(k,) for k in "mnpqrst"], "key string")
+    failed, lost = (spark.createDataFrame([(k,)], "key string") for k in "st")
+    got = {r["key"]: (r["value"], r["error"]) for r in client.read(keys, 20, sg.sum_, offline, online, keep=4, offline_failed=failed, online_failed=lost).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {"m": 100 + 8 + 16 + 32, "n": 200 + 4 + 8 + 16 + 32, "p": 300 + 32, "q": 4 + 8 + 16 + 32, "r": None, "s": None, "t": None}
+    assert [k for k in "mnpqrst" if got[k][1]] == ["s", "t"]
+    ahead = client.read(keys, 18, sg.sum_, offline, online, keep=4).where("key = 'p'").first()
     assert ahead["error"] and ahead["value"] is None
-    old = client.read(keys, 20, sg.sum_, offline, online, keep=3, strict=True).where("key = 'a'").first()
+    old = client.read(keys, 20, sg.sum_, offline, online, keep=4, strict=True).where("key = 'n'").first()
     assert "missing" in old["error"]
-    denied = client.read(keys, 10, sg.sum_, offline, online, keep=3, online_keys=lambda k: k != "a")
-    assert {r["key"]: r["value"] for r in denied.collect()}["a"] == 1
-    only = client.read(keys, 10, sg.sum_, None, online, keep=3)
-    assert {r["key"]: r["value"] for r in only.collect()} == {"a": 2, "b": None, "c": 2, "d": None, "e": None, "f": 9}
+    denied = client.read(keys, 20, sg.sum_, offline, online, keep=4, online_keys=lambda k: k != "m")
+    assert {r["key"]: r["value"] for r in denied.collect()}["m"] == 100
+    only = client.read(keys, 20, sg.sum_, None, online, keep=2)
+    assert {r["key"]: r["value"] for r in only.collect()} == {"m": 48, "n": 48, "p": 48, "q": 48, "r": None, "s": None, "t": 5}
 
 
 def test_client_merge_takes_batches_in_order(spark):

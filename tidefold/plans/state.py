@@ -44,18 +44,18 @@ class Prepared:
 
 class CheckpointState:
     """<ms>.version files in `path`, one per run that succeeded, named by its end. A run starts at `start` if given,
-    else where the newest token ends, and takes `batches` batches. Files that begin with _ are not tokens."""
+    else where the newest token ends, and takes `batches` batches. Files that begin with _ are not tokens. The file _running keeps
+    other processes from beginning a run; takeover: it is left from one that died."""
 
-    def __init__(self, spark: SparkSession, path: str, batcher: Batcher, start: int | None = None, batches: int = 1):
+    def __init__(self, spark: SparkSession, path: str, batcher: Batcher, start: int | None = None, batches: int = 1, takeover: bool = False):
         self.files, self.path, self.batcher, self.start, self.batches = Files(spark), path.rstrip("/"), batcher, start, batches
-        self.busy = False
+        if takeover:
+            self.files.delete(f"{self.path}/_running")
 
     def tokens(self) -> list[int]:
         return sorted(int(n.removesuffix(".version")) for n in self.files.names(self.path) if n.endswith(".version") and not n.startswith("_"))
 
     def begin(self) -> Prepared:
-        if self.busy:
-            raise Refused("a run is under way")
         known = self.tokens()
         start = self.start if self.start is not None else (known[-1] if known else None)
         if start is None:
@@ -64,11 +64,12 @@ class CheckpointState:
             raise Refused(f"{start} is not the start of a batch")
         if self.start is not None and known and start > known[-1]:
             raise Refused(f"starting at {start} would leave a hole after {known[-1]}")
-        self.busy = True
+        if not self.files.claim(f"{self.path}/_running"):
+            raise Refused("a run is under way")
         return Prepared(self, Interval(start, self.batcher.earliest(self.batcher.batch_of(start) + self.batches)))
 
     def _end(self, done: Interval | None) -> None:
-        self.busy = False
         if done is not None:
             self.files.write(f"{self.path}/{done.upper}.version")
             self.start = None
+        self.files.delete(f"{self.path}/_running")

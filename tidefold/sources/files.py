@@ -44,6 +44,12 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def claim(self, path: str) -> bool:
+        """Make a file, unless it is there."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        return fs.createNewFile(p)
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)

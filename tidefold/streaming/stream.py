@@ -30,7 +30,9 @@ class DeltaStore:
 
     def add(self, df: DataFrame, epoch: int, writer: str = "stream") -> DataFrame:
         """Store a micro-batch, and return (key, batch_id, ts_ms, prev, delta) of what it held: prev is what the store had for
-        the key and batch without it."""
+        the key and batch without it. Folding comes first, as what is returned is read from the folders."""
+        if len(self._live()) > self.compact_every:
+            self.compact()
         self.metrics.count(self.path, "add")
         path = f"{self.path}/writer={writer}/epoch={epoch}"
         deltas(df, self.batcher, self.semigroup).write.mode("overwrite").parquet(path)
@@ -42,12 +44,10 @@ class DeltaStore:
             # a join from the few rows of a micro-batch
             out = join_same(new, old.select("key", "batch_id", F.col("delta").alias("prev")), ["key", "batch_id"], "left")
         out = out.select("key", "batch_id", "ts_ms", s.present(F.col("prev")).alias("prev"), s.present(F.col("delta")).alias("delta"))
-        if len(self._live()) > self.compact_every:
-            self.compact()
         return out
 
     def merge(self, df: DataFrame, wanted: Interval, reducers: int | None = None) -> DataFrame:
-        """The batch form of add; a run over the same interval replaces it."""
+        """The batch form of add; a run over the same interval replaces it, or, once it is folded, changes nothing."""
         return self.add(df.where(wanted.condition()), 0, f"batch_{wanted.lower}_{wanted.upper}")
 
     def epochs(self) -> list[tuple[str, int]]:
@@ -90,11 +90,14 @@ class DeltaStore:
     def compact(self, oldest_batch: int | None = None) -> None:
         """Fold all epochs into one folder, leaving out batches before oldest_batch (or those that `keep` lets go), and then
         delete them. The newest epoch of each writer is not folded, as its micro-batch may be run again."""
+        base, upto = self._base()
+        for w, e in self.epochs():
+            if e <= upto.get(w, -1):  # folded before, and written again since
+                self.files.delete(f"{self.path}/writer={w}/epoch={e}")
         newest = dict(self.epochs())
         done = [(w, e) for w, e in self._live() if e < newest[w] or w.startswith("batch_")]
         if not done:
             return
-        base, upto = self._base()
         held = ([] if base is None else [f"{self.path}/base={base}"]) + [f"{self.path}/writer={w}/epoch={e}" for w, e in done]
         rows = self.spark.read.parquet(*held)
         if oldest_batch is None and self.keep is not None:
