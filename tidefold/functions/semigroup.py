@@ -153,7 +153,7 @@ def tuple_of(**parts: Semigroup) -> Semigroup:
         lambda x, o: F.when(o(F.count(x)) > 0, F.struct(*(s.agg(x[n], o).alias(n) for n, s in each))),
         lambda a, b: F.struct(*(s.add(a[n], b[n]).alias(n) for n, s in each)),
         lambda v, ts, seq: F.struct(*(s.lift(v[n], ts, seq).alias(n) for n, s in each)),
-        lambda x: F.struct(*(s.present(x[n]).alias(n) for n, s in each)),
+        lambda x: F.when(x.isNotNull(), F.struct(*(s.present(x[n]).alias(n) for n, s in each))),
         all(s.commutative for s in parts.values()),
     )
 
@@ -183,7 +183,12 @@ def custom(name: str, python: Callable, kind: str, commutative: bool = False) ->
         known = [v for v in values or () if v is not None]
         return reduce(python, known) if known else None
 
-    fold_all = F.udf(folded, kind)
+    made: list = []  # once there is a session to make it in
+
+    def fold_all(values: Column) -> Column:
+        if not made:
+            made.append(F.udf(folded, kind))
+        return made[0](values)
 
     def of(elements: Column) -> Column:
         ordered = F.array_sort(F.array_compact(elements))
