@@ -37,7 +37,8 @@ class DeltaStore:
         path = f"{self.path}/writer={writer}/epoch={epoch}"
         deltas(df, self.batcher, self.semigroup).write.mode("overwrite").parquet(path)
         new, s = self.spark.read.parquet(path), self.semigroup
-        old = self.read(without=(writer, epoch))
+        span = new.agg(F.min("batch_id"), F.max("batch_id")).first()
+        old = self.read(without=(writer, epoch), span=tuple(span))
         if old is None:
             out = new.withColumn("prev", F.lit(None).cast(new.schema["delta"].dataType))
         else:
@@ -68,8 +69,9 @@ class DeltaStore:
         _, upto = self._base()
         return [(w, e) for w, e in self.epochs() if e > upto.get(w, -1)]
 
-    def read(self, without: tuple[str, int] | None = None) -> DataFrame | None:
-        """(key, batch_id, ts_ms, delta) over all epochs, or all but one; None where nothing is stored."""
+    def read(self, without: tuple[str, int] | None = None, span: tuple[int | None, int | None] | None = None) -> DataFrame | None:
+        """(key, batch_id, ts_ms, delta) over all epochs, or all but one; None where nothing is stored. span: the first and
+        the last batch to read, a filter that reaches the scan."""
         self.metrics.count(self.path, "read")
         base, upto = self._base()
         paths = [] if base is None else [f"{self.path}/base={base}"]
@@ -77,6 +79,8 @@ class DeltaStore:
         if not paths:
             return None
         rows = self.spark.read.parquet(*paths)
+        if span is not None:
+            rows = rows.where(F.col("batch_id").between(*span))
         return rows.groupBy("key", "batch_id").agg(F.max("ts_ms").alias("ts_ms"), self.semigroup.total(F.col("delta")).alias("delta"))
 
     def present(self, keys: DataFrame) -> DataFrame:
