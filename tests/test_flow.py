@@ -117,6 +117,10 @@ def test_expanded_keys_equal_the_plain_plan(spark):
     a = flow(spark, rows).sums_of_expanded_keys(expand, TEN, sg.sum_)
     b = flow(spark, rows).flat_map_keys(expand).sums(TEN, sg.sum_).select("key", "batch_id", "ts_ms", "delta")
     assert sorted(a.collect()) == sorted(b.collect())
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Generate")  # sums stand below the expansion
+    later = flow(spark, rows).flat_map_keys(expand).map_values(lambda v: v * 2).sums(TEN, sg.sum_).select("key", (F.col("delta") / 2).cast("long").alias("delta"))
+    assert sorted(later.collect()) == sorted(a.select("key", "delta").collect())
     with pytest.raises(ValueError):
         flow(spark, rows).sums_of_expanded_keys(expand, TEN, sg.list_concat)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,7 @@ class Flow:
     df: DataFrame
     node: Node = Node("source")
     reads: frozenset = frozenset()  #: stores that this flow was joined with
+    unexpanded: tuple[DataFrame, Fn] | None = field(default=None, compare=False)  #: what flat_map_keys just expanded, and how
 
     # sources
 
@@ -115,7 +116,7 @@ class Flow:
         run = current()
         if run and options:
             run.options[label] = options | run.options.get(label, {})
-        return self._next(self.df, "name", label=label)
+        return replace(self._next(self.df, "name", label=label), unexpanded=self.unexpanded)
 
     def write(self, sink) -> Flow:
         """Rows pass on unchanged; the write happens when a Job runs. `sink` may be a Pair."""
@@ -152,7 +153,9 @@ class Flow:
         return self._with("value", f, "map_values")
 
     def flat_map_keys(self, f: Fn) -> Flow:
-        return self._with("key", lambda k: F.explode(f(k)), "flat_map_keys")
+        """f gives an array of keys. A commutative sum that follows adds up by the old keys first, so that sums are
+        expanded and not rows."""
+        return replace(self._with("key", lambda k: F.explode(f(k)), "flat_map_keys"), unexpanded=(self.df, f))
 
     def flat_map_values(self, f: Fn) -> Flow:
         return self._with("value", lambda v: F.explode(f(v)), "flat_map_values")
@@ -261,6 +264,7 @@ class Flow:
         if id(store) in self.reads:
             raise ValueError("this flow was joined with the store it is summed into: only loop_join() can, where only the values change")
         reducers = run.option("reducers") if run else None
+        df, expand = self.unexpanded if self.unexpanded and semigroup.commutative and semigroup.sketch is None else (self.df, None)
         if run and store is not batcher:
             run.inputs[id(store)] = self.df
             if run.mode == "plan":
@@ -271,16 +275,19 @@ class Flow:
                 sums = sum_by_key(self.df, batcher, semigroup).select("ts_ms", F.lit(0).cast("long").alias("seq"), "key", F.col("delta").alias("value"))
                 sink.write(sums.where(run.wanted.condition()), run.wanted) if run.mode == "batch" else sink.add(sums, run.writer, run.epoch)
         if run and run.mode == "batch" and store is not batcher:
-            out = store.merge(self.df, run.reach if isinstance(store, VersionedStore) else run.wanted, reducers=reducers)
+            out = store.merge(df, run.reach if isinstance(store, VersionedStore) else run.wanted, reducers=reducers, expand=expand)
         elif run and run.mode == "stream" and store is not batcher:
-            out = store.add(self.df, run.epoch, run.writer)
+            out = store.add(df, run.epoch, run.writer, expand=expand)
         else:
-            out = sum_by_key(self.df, batcher, semigroup, reducers=reducers)
+            out = sum_by_key(df, batcher, semigroup, reducers=reducers, expand=expand)
         return self._next(out.select("ts_ms", F.lit(0).cast("long").alias("seq"), "key", F.struct("prev", "delta").alias("value")), "sum_by_key")
 
     def sums(self, batcher: Batcher, semigroup: Semigroup, granularity: str = "batch") -> DataFrame:
         """(key, batch_id, ts_ms, prev, delta), or one row per input with granularity "record"."""
-        return (sum_by_key_record if granularity == "record" else sum_by_key)(self.df, batcher, semigroup)
+        if granularity == "record":
+            return sum_by_key_record(self.df, batcher, semigroup)
+        df, expand = self.unexpanded if self.unexpanded and semigroup.commutative and semigroup.sketch is None else (self.df, None)
+        return sum_by_key(df, batcher, semigroup, expand=expand)
 
     def sums_of_expanded_keys(self, expand: Fn, batcher: Batcher, semigroup: Semigroup) -> DataFrame:
         return sum_expanded_keys(self.df, expand, batcher, semigroup)

@@ -114,11 +114,12 @@ class VersionedStore:
         known = [] if batches.first is None else [v for v in self.versions() if v <= batches.first]
         return known[-1] if known else (self.initial_batch if self.initial_batch is not None else None)
 
-    def merge(self, flow: DataFrame, wanted: Interval, select: Iterable[int] | None = None, reducers: int | None = None) -> DataFrame:
+    def merge(self, flow: DataFrame, wanted: Interval, select: Iterable[int] | None = None, reducers: int | None = None, expand: Callable[[Column], Column] | None = None) -> DataFrame:
         """Roll the store forward over the whole batches in `wanted` and return (key, batch_id, ts_ms, prev, delta) of
         those with data. flow (key, ts_ms, seq, value) must hold needed(wanted).
 
         select: batches to write besides the last. Every snapshot holds all keys, those without new data carried forward.
+        expand: as deltas() takes it.
         """
         s, batches = self.semigroup, self._batches(wanted)
         self.metrics.count(self.path, "merge")
@@ -127,7 +128,7 @@ class VersionedStore:
         start = self._start(batches)
         known = None if start is None or start not in self.versions() else self.read_raw(start)
         span = self.batcher.span(Batches(start, batches.last))
-        sums = deltas(flow.where(span.condition()), self.batcher, s, reducers).persist()  # read once for each snapshot and once for the result
+        sums = deltas(flow.where(span.condition()), self.batcher, s, reducers, expand).persist()  # read once for each snapshot and once for the result
         self._held.append(sums)
         last = batches.last if batches.last is not None else 0
         for b in sorted({*(select or ()), last}):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,11 +22,13 @@ def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Dat
     return out if how in ("left_semi", "left_anti") else out.drop(*(f"{c}_of_right_" for c in on))
 
 
-def deltas(df: DataFrame, batcher: Batcher, semigroup: Semigroup, reducers: int | None = None) -> DataFrame:
+def deltas(df: DataFrame, batcher: Batcher, semigroup: Semigroup, reducers: int | None = None, expand: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, batch_id, ts_ms, delta): one element per key and batch, ts_ms the newest of its values.
 
     One shuffle on (key, batch_id), after map-side combination; a hot key is dealt out by its batches. reducers: into so
-    many partitions."""
+    many partitions. expand: the keys become many, once their values are summed."""
+    if expand is not None:
+        return sum_expanded_keys(df, expand, batcher, semigroup, reducers)
     rows = df.select("key", batcher.column(F.col("ts_ms")).alias("batch_id"), "ts_ms", "seq", "value")
     lifted = rows.withColumn("x", semigroup.lift(F.col("value"), F.col("ts_ms"), F.col("seq")))
     total = semigroup.total(F.col("x"))
@@ -90,9 +92,9 @@ def with_previous(sums: DataFrame, semigroup: Semigroup, initial: DataFrame | No
     return out.select("key", "batch_id", "ts_ms", "prev", "delta")
 
 
-def sum_by_key(df: DataFrame, batcher: Batcher, semigroup: Semigroup, initial: DataFrame | None = None, reducers: int | None = None) -> DataFrame:
+def sum_by_key(df: DataFrame, batcher: Batcher, semigroup: Semigroup, initial: DataFrame | None = None, reducers: int | None = None, expand: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, batch_id, ts_ms, prev, delta) with prev and delta presented."""
-    out = with_previous(deltas(df, batcher, semigroup, reducers), semigroup, initial)
+    out = with_previous(deltas(df, batcher, semigroup, reducers, expand), semigroup, initial)
     return out.select("key", "batch_id", "ts_ms", semigroup.present(F.col("prev")).alias("prev"), semigroup.present(F.col("delta")).alias("delta"))
 
 
@@ -111,11 +113,11 @@ def sum_by_key_record(df: DataFrame, batcher: Batcher, semigroup: Semigroup) ->
     return out.select("key", "ts_ms", "seq", semigroup.present(semigroup.add(F.col("carried"), F.col("inside"))).alias("prev"), semigroup.present(F.col("x")).alias("delta"))
 
 
-def sum_expanded_keys(df: DataFrame, expand, batcher: Batcher, semigroup: Semigroup) -> DataFrame:
+def sum_expanded_keys(df: DataFrame, expand: Callable[[Column], Column], batcher: Batcher, semigroup: Semigroup, reducers: int | None = None) -> DataFrame:
     """(key, batch_id, ts_ms, delta) after each key is expanded into many: values are summed by the old key first,
     so that the expansion multiplies sums, not rows. Only for commutative semigroups."""
     if not semigroup.commutative:
         raise ValueError("summing before key expansion needs a commutative semigroup")
-    first = deltas(df, batcher, semigroup)
+    first = deltas(df, batcher, semigroup, reducers)
     many = first.select(F.explode(expand(F.col("key"))).alias("key"), "batch_id", "ts_ms", "delta")
     return many.groupBy("key", "batch_id").agg(F.max("ts_ms").alias("ts_ms"), semigroup.total(F.col("delta")).alias("delta"))

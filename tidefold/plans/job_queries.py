@@ -220,6 +220,14 @@ def diamond(spark, d):
     return store.totals(last_batch(spark, d))
 
 
+@query(E_SQL + " SELECT k AS key, CAST(sum(cents) AS BIGINT) AS value FROM (SELECT unnest([key % 3, -1]) AS k, cents FROM e) GROUP BY k")
+def expanded_keys_into_store(spark, d):
+    """Keys are expanded and summed; the plan sums by the old keys first."""
+    store = versioned(spark, "expanded")
+    halves(spark, d, Job(lambda f: by_user(f["events"]).flat_map_keys(lambda k: F.array(k % 3, F.lit(-1).cast("long"))).sum_by_key(store), {"events": source(d)}))
+    return store.totals(last_batch(spark, d))
+
+
 # sinks
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semigroup import Semigroup
@@ -28,14 +28,14 @@ class DeltaStore:
         self.spark, self.path, self.batcher, self.semigroup, self.files = spark, path.rstrip("/"), batcher, semigroup, Files(spark)
         self.keep, self.compact_every, self.metrics = keep, compact_every, metrics or Metrics()
 
-    def add(self, df: DataFrame, epoch: int, writer: str = "stream") -> DataFrame:
+    def add(self, df: DataFrame, epoch: int, writer: str = "stream", expand: Callable[[Column], Column] | None = None) -> DataFrame:
         """Store a micro-batch, and return (key, batch_id, ts_ms, prev, delta) of what it held: prev is what the store had for
         the key and batch without it. Folding comes first, as what is returned is read from the folders."""
         if len(self._live()) > self.compact_every:
             self.compact()
         self.metrics.count(self.path, "add")
         path = f"{self.path}/writer={writer}/epoch={epoch}"
-        deltas(df, self.batcher, self.semigroup).write.mode("overwrite").parquet(path)
+        deltas(df, self.batcher, self.semigroup, expand=expand).write.mode("overwrite").parquet(path)
         new, s = self.spark.read.parquet(path), self.semigroup
         span = new.agg(F.min("batch_id"), F.max("batch_id")).first()
         old = self.read(without=(writer, epoch), span=tuple(span))
@@ -47,9 +47,9 @@ class DeltaStore:
         out = out.select("key", "batch_id", "ts_ms", s.present(F.col("prev")).alias("prev"), s.present(F.col("delta")).alias("delta"))
         return out
 
-    def merge(self, df: DataFrame, wanted: Interval, reducers: int | None = None) -> DataFrame:
+    def merge(self, df: DataFrame, wanted: Interval, reducers: int | None = None, expand: Callable[[Column], Column] | None = None) -> DataFrame:
         """The batch form of add; a run over the same interval replaces it, or, once it is folded, changes nothing."""
-        return self.add(df.where(wanted.condition()), 0, f"batch_{wanted.lower}_{wanted.upper}")
+        return self.add(df.where(wanted.condition()), 0, f"batch_{wanted.lower}_{wanted.upper}", expand)
 
     def epochs(self) -> list[tuple[str, int]]:
         """Complete (writer, epoch)."""
