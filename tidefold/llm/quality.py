@@ -39,7 +39,8 @@ SIZES = (MIN_TOKENS, 120, 360, 1080)
 #: Documents that bands are fitted on, about; fewer than LEAST of a group and size leave it the wide band.
 SAMPLE_DOCS, LEAST = 20_000, 50
 #: A band reaches so many interquartile ranges beyond the quartiles, and this far at least.
-REACH, NARROWEST = 3.0, {"chars_per_token": 0.0, "fallback_share": 0.02, "token_entropy": 0.0}
+#: The least leaves room for a passage in another language.
+REACH, NARROWEST = 3.0, {"chars_per_token": 0.3, "fallback_share": 0.15, "token_entropy": 0.0}
 #: For groups too rare to fit: prose of a script lies well inside, whatever its language. A byte-level vocabulary made for
 #: English gives other scripts fewer characters per token and more fragments.
 WIDE = {
