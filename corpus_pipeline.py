@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, mixing, token files."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, mixing, token files.
+
+Rows of null or empty text fail the quality rules. Rows of null id are judged, mixed and encoded as others are, and are near
+duplicates of nothing; rows that repeat an id are one document to the near-duplicates and rows of their own elsewhere. No
+documents: no rows. Columns beyond those of documents go with their rows up to the token files.
+"""
 
 from __future__ import annotations
 

@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link within a bucket is lost and none is drawn twice between copies.
 
     Null or empty text: n_shingles 0, its own component. Null id: its row is returned with component_id null
-    and kept true, and links nothing. Rows that repeat an id are one document. Other columns are ignored.
+    and kept true, and links nothing. Rows that repeat an id are one document. No rows: none. Other
+    columns are ignored. Ids are numbers.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = cut(src.mapInArrow(_features(shingle), "id long, k1 long, k2 long, n long, bands array<long>"), "marks")
@@ -182,7 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns: one document of each group, and rows of null id."""
+    """The rows of docs that near_duplicates keeps, with all their columns: one document of each group, and rows of null id. Null and
+    empty texts stay, each being a group; rows that repeat the id that stays, stay. No rows: none."""
     found = near_duplicates(docs, id_col, text_col, shingle, percent)
     kept = cut(found.where("kept and id is not null").select("id").distinct(), "kept")
     name = "id"

@@ -122,7 +122,8 @@ FROM r
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as mix_sources takes it, with all their columns."""
+    """The rows of docs, each as often as mix_sources takes it, with all their columns. Null and empty texts are
+    repeated as others of their source are, and cost no words; null ids and repeated rows are rows like others. No rows: none."""
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, carry=tuple(docs.columns), columns=("times",), **options)
     again = mixed.where("times > 0").withColumn("repetition_", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return again.select(*(F.col(f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -155,7 +155,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans lists kind:start:end in code points, end exclusive, base kinds first; scores run beside it. The counts
     and base_sha256 are of base spans alone. IBANs (mod-97), social security numbers and national telephone
     numbers are added where checksum and nearby words bring the score to THRESHOLD. Null text is empty: no
-    span, the hash of the empty string. A null id is kept. Other columns are ignored.
+    span, the hash of the empty string. A null id is kept, and repeated rows are
+    searched each. No rows: none. Other columns are ignored. Ids are numbers.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(_find, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
