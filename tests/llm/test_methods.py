@@ -299,3 +299,15 @@ def test_an_encoder_without_room_for_all_runs_gives_the_same(lib, monkeypatch):
         ids, count = enc.encode(pa.array(part, pa.large_string()))
         want = [lib.encode(x, add_special_tokens=False).ids for x in part]
         assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_the_library_on_awkward_runs(special_as_text):
+    r = random.Random(1)
+    parts = ["word", " word", "\n", "  ", "\t", " ", "　", "é", "北京", "'s", "'", "###", "|", "<|endoftext|>", "12", "!", " x", "\r\n", " ", "ñandú", "A", "🙂", "_", "-", "\x0b", "×", "÷", "<", " 7", "Ā"]
+    t = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    plain, enc = Tokenizer.from_file(bpe.default_vocabulary()), bpe.Encoder(bpe.default_vocabulary(), special_as_text)
+    plain.encode_special_tokens = special_as_text
+    ids, count = enc.encode(pa.array(t, pa.large_string()))
+    want = [plain.encode(x, add_special_tokens=False).ids for x in t]
+    assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .bpe import default_vocabulary, encoder
+from .bpe import default_vocabulary, encoder, spelling
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -181,14 +181,7 @@ def _band(x: np.ndarray) -> Band:
 def _fragments(enc) -> np.ndarray:
     """Whether each id stands for bytes that are no whole characters."""
     out = np.zeros(len(enc.byte_lengths()), bool)
-    alphabet = {}
-    spare = 0
-    for b in range(256):  # byte-level vocabularies spell unprintable bytes by characters from 256 on
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            alphabet[chr(b)] = b
-        else:
-            alphabet[chr(256 + spare)] = b
-            spare += 1
+    alphabet = {c: b for b, c in enumerate(spelling())}
     for token, i in enc.lib.get_vocab(with_added_tokens=False).items():
         raw = bytes(alphabet.get(c, 63) for c in token)
         try:

@@ -27,7 +27,7 @@ TERMINALS = 1 << 20
 #: Stands for a document's end in a sequence, as the end id may occur inside a text too.
 STOP = TERMINALS - 1
 SCHEMA = "part int, shard int, end_id int, n_ids long, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, low binary, high binary"
-_TAG_BITS = 16
+_TAG_BITS = 17
 
 
 def _lengths_of(s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -37,44 +37,66 @@ def _lengths_of(s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tag(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left * np.uint32(0x9E3779B1)
+    x ^= right * np.uint32(0x85EBCA77)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE3D)
+    return x >> np.uint32(32 - _TAG_BITS)
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules as pairs of symbols, expansion lengths). Symbol TERMINALS + k stands for rule k.
 
-    Each round counts all adjacent pairs, makes rules of those at least a tenth as frequent as the most frequent one, and
+    Each round counts adjacent pairs, makes rules of those at least a tenth as frequent as the most frequent one, and
     replaces their occurrences left to right; where they overlap, every other one of the run is taken. It ends when no
-    pair comes LEAST_COUNT times.
+    pair comes LEAST_COUNT times. Of a later round only pairs can come so often that hold a symbol of the round before, or
+    that came so often then: the others are not counted again.
     """
     s = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
     lengths = np.zeros(0, np.uint32)
+    often = np.ones(1 << _TAG_BITS, bool)  # by tag: whether a pair may come often without a new symbol
+    newest = TERMINALS
     while len(s) > 1:
-        key = (s[:-1].astype(tx.U64) << tx.U64(32)) | s[1:]
+        stop, new = s == STOP, s >= newest
+        tag = _tag(s[:-1], s[1:])
+        live = np.flatnonzero((often.take(tag) | new[:-1] | new[1:]) & ~(stop[:-1] | stop[1:]))
+        key = (s[live].astype(tx.U64) << tx.U64(32)) | s[live + 1]
         ordered = np.sort(key)
+        if not len(ordered):
+            break
         bounds = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
-        pairs = ordered[bounds[:-1]]
-        left, right = pairs >> tx.U64(32), pairs & tx.U64(0xFFFFFFFF)
-        count = np.where((left != STOP) & (right != STOP), np.diff(bounds), 0)
-        if count.max() < LEAST_COUNT:
+        count = np.diff(bounds)
+        many = np.flatnonzero(count >= LEAST_COUNT)
+        if not len(many):
             break
-        pairs = pairs[count >= max(LEAST_COUNT, count.max() // 10)]
-        tag = lambda k: ((k * tx.U64(0x9E3779B97F4A7C15)) >> tx.U64(64 - _TAG_BITS)).astype(np.int64)
+        pairs, count = ordered[bounds[many]], count[many]
+        tags = _tag((pairs >> tx.U64(32)).astype(np.uint32), (pairs & tx.U64(0xFFFFFFFF)).astype(np.uint32))
+        often[:] = False
+        often[tags] = True
+        top = np.flatnonzero(count >= count.max() // 10)
+        pairs, tags = pairs[top], tags[top]
         table = np.full(1 << _TAG_BITS, -1, np.int32)
-        table[tag(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        pairs = pairs[table[tag(pairs)] == np.arange(len(pairs))]  # others that share a tag wait for another round
-        table[tag(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        rule = table.take(tag(key))
-        at = np.flatnonzero(rule >= 0)
-        at = at[pairs[rule[at]] == key[at]]
+        table[tags] = np.arange(len(pairs), dtype=np.int32)
+        own = table[tags] == np.arange(len(pairs))  # others that share a tag wait for another round
+        pairs = pairs[own]
+        table[tags[own]] = np.arange(len(pairs), dtype=np.int32)
+        rule = table.take(tag[live])
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[pairs[rule[hit]] == key[hit]]
+        at, rule = live[hit], rule[hit]
         head = np.concatenate([[True], np.diff(at) != 1])
         run = at[head][np.cumsum(head) - 1]
-        at = at[(at - run) % 2 == 0]
-        s[at] = TERMINALS + len(rules) + rule[at]
+        even = (at - run) % 2 == 0
+        at, newest = at[even], TERMINALS + len(rules)
+        s[at] = newest + rule[even]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        new = np.stack([pairs >> tx.U64(32), pairs & tx.U64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        lengths = np.concatenate([lengths, (_lengths_of(new[:, 0], lengths) + _lengths_of(new[:, 1], lengths)).astype(np.uint32)])
-        rules = np.concatenate([rules, new])
+        made = np.stack([pairs >> tx.U64(32), pairs & tx.U64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        lengths = np.concatenate([lengths, (_lengths_of(made[:, 0], lengths) + _lengths_of(made[:, 1], lengths)).astype(np.uint32)])
+        rules = np.concatenate([rules, made])
     return s, rules, lengths
 
 

@@ -215,9 +215,11 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], s[first]
 
 
-#: A space or line feed before one of these bytes begins a pre-token of byte-level BPE.
+#: A space or line feed before one of these bytes begins a pre-token of byte-level BPE; not before <, which may begin a special
+#: token, whose white space before it stays whole.
 SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = True
+SOLID[0x3C] = False
 SOLID[0xC3] = True
 
 
@@ -230,6 +232,20 @@ MARK[LETTER] = False
 MARK[0x30:0x3A] = MARK[[0x27, 0x3C, 0x3E, 0x7C]] = False
 
 
+DIGIT = np.zeros(256, bool)
+DIGIT[0x30:0x3A] = True
+
+
+def pre_token_kinds(data: np.ndarray) -> np.ndarray:
+    """Of each byte: 1 in a letter (ASCII, or of two bytes that begin with C3), 2 in an ASCII digit, 3 in punctuation of
+    MARK, else 0. A run of one kind is one pre-token of byte-level BPE, with a space before it or not."""
+    out = LETTER[data].view(np.uint8) | (DIGIT[data].view(np.uint8) << np.uint8(1)) | (MARK[data].view(np.uint8) * np.uint8(3))
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[~np.isin(data[lead + 1], (0x97, 0xB7))]  # the signs of multiplication and division are no letters
+    out[lead] = out[lead + 1] = 1
+    return out
+
+
 def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): spans that cover all bytes and that byte-level BPE encodes independently of each other.
 
