@@ -60,7 +60,7 @@ def test_sum_by_key_matches_the_model(spark, name):
 
     # FLOWS drawn flows go through one Spark job, each with keys of its own
     @given(flows=st.lists(rows_strategy(values), min_size=FLOWS, max_size=FLOWS))
-    @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+    @settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
     def law(flows):
         rows = [(t, s, 10 * n + k, v) for n, own in enumerate(flows) for t, s, k, v in own]
         got = {(r["key"], r["batch_id"]): (r["ts_ms"], r["prev"], r["delta"]) for r in flow(spark, rows, kind).sums(TEN, semigroup).collect()}
