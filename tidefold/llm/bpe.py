@@ -105,11 +105,15 @@ class Encoder:
     def _spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans, number of ids of each). A span of letters, digits or punctuation alone, with or without one space
         before, is one pre-token: such spans go to the model together, a line each, without the pre-tokenizer's work."""
+        length = end - start
+        data = data[tx.ranges(start, length)]  # the spans alone from here on
+        end = np.cumsum(length)
+        start = end - length
         at = np.where(data[start] == 32, np.minimum(start + 1, end - 1), start)
         kind = tx.pre_token_kinds(data)
-        changes = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
+        changes = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1], dtype=np.int32)])
         simple = np.flatnonzero((kind[at] > 0) & (changes[at] == changes[end - 1]))
-        length = (end - start)[simple]
+        length = length[simple]
         lines = np.full(int(length.sum()) + len(simple), 10, "<u4")
         lines[tx.ranges(np.cumsum(length + 1) - length - 1, length)] = self.letters[data[tx.ranges(start[simple], length)]]
         ids = np.array(self._encoded(self.by_line, [lines.tobytes().decode("utf-32-le")])[0] if len(simple) else [], np.int32)
