@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidefold.llm import attribution, bpe, classifier, contextmix, decontamination, minhash, pii, quality, repair, substring
@@ -163,15 +164,21 @@ def test_fitted_bands_reject_what_stands_out_and_little_else(spark):
     prose = [(k, " ".join(r.choice(common) for _ in range(150)) + ".") for k in range(400)]
     junk = [(1000 + k, " ".join("".join(r.choice("qxzjkvwp") for _ in range(7)) for _ in range(90))) for k in range(12)]
     docs = frame(spark, prose + junk)
-    bands = quality.fit_bands(docs, group_col="lang")
+    measured = lambda df: quality.measured(df, "m", "text", "lang", None, False)
+    bands = quality.fit_bands(measured(docs), "m")
     assert {g for g, _ in bands} == {"en"}
     got = {x["id"]: x["kept"] for x in quality.quality_rules(docs, group_col="lang").collect()}
     assert not any(got[i] for i, _ in junk)
     assert sum(got[i] for i, _ in prose) >= 395
-    x = np.array([[q["chars_per_token"], q["fallback_share"], q["token_entropy"]] for q in quality.quality_rules(docs, group_col="lang").collect() if 120 <= q["n_tokens"] < 360])
-    low, high = np.quantile(x[:, 0], (0.25, 0.75))
-    assert bands["en", 2].chars_low == pytest.approx(low - max(0.3, 3 * (high - low)))
-    assert quality.fit_bands(frame(spark, [])) == {}
+    x = sorted(q["token_entropy"] for q in quality.quality_rules(docs, group_col="lang").collect() if 120 <= q["n_tokens"] < 360)
+    low, high = x[len(x) // 4], x[3 * len(x) // 4]
+    assert bands["en", 2].entropy_low == pytest.approx(low - 3 * (high - low), abs=0.02)
+    assert quality.fit_bands(measured(frame(spark, [])), "m") == {}
+    mixed = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    assert {g for g, _ in quality.fit_bands(measured(mixed), "m")} == {"en", "latin"}
+    clashing = docs.withColumnRenamed("source", "m_").withColumnRenamed("n_chars", "group_").withColumnRenamed("score", "a_")
+    kept = quality.keep_good(clashing, group_col="lang")
+    assert kept.columns == clashing.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
 # op8

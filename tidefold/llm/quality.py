@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import text as tx
 from .bpe import default_vocabulary, encoder, spelling
+from .scratch import cut
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -36,8 +39,8 @@ class Band:
 #: Texts under so many tokens are too short to judge; a band holds for texts from one of these sizes to the next.
 MIN_TOKENS = 40
 SIZES = (MIN_TOKENS, 120, 360, 1080)
-#: Documents that bands are fitted on, about; fewer than LEAST of a group and size leave it the wide band.
-SAMPLE_DOCS, LEAST = 20_000, 50
+#: Fewer documents of a group and size than this leave it the wide band.
+LEAST = 50
 #: A band reaches so many interquartile ranges beyond the quartiles, and this far at least.
 #: The least leaves room for a passage in another language.
 REACH, NARROWEST = 3.0, {"chars_per_token": 0.3, "fallback_share": 0.15, "token_entropy": 0.0}
@@ -53,6 +56,11 @@ WIDE = {
     "other": Band(0.2, 8.0, 1.0, 2.5),
 }
 Bands = dict[tuple[str, int], Band]
+MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+#: Bands are found from counts by cells of this width; a measure over CELLS widths counts as that.
+WIDTH, CELLS = 1 / 1024, 1 << 16
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = ", ".join([*(f"{x} long" for x in BASE), "base_failed boolean", "n_tokens long", *(f"{x} double" for x in MEASURES), "script string", "group string", "size int"])
 
 
 def size_class(n_tokens: np.ndarray) -> np.ndarray:
@@ -125,59 +133,76 @@ def fertility(texts: pa.Array, enc, fragment: np.ndarray) -> dict[str, np.ndarra
     return {"n_tokens": count, "chars_per_token": chars / some, "fallback_share": share, "token_entropy": np.maximum(entropy, 0.0), "script": tally.argmax(axis=1)}
 
 
-def groups_of(f: dict[str, np.ndarray], given: pa.Array | None) -> list[str]:
-    """Each text's group: what is given, such as its language, or else its main script."""
-    scripts = [SCRIPTS[s] for s in f["script"]]
-    return scripts if given is None else [g if g is not None else s for g, s in zip(given.to_pylist(), scripts, strict=True)]
-
-
-def within_bands(f: dict[str, np.ndarray], bands: Bands, given: pa.Array | None = None) -> np.ndarray:
-    size = size_class(f["n_tokens"]).tolist()
-    b = [bands.get((g, k)) or WIDE[SCRIPTS[s]] for g, k, s in zip(groups_of(f, given), size, f["script"], strict=True)]
-    low, high, share, bits = np.array([(x.chars_low, x.chars_high, x.fallback_high, x.entropy_low) for x in b]).reshape(-1, 4).T
-    good = (f["chars_per_token"] >= low) & (f["chars_per_token"] <= high) & (f["fallback_share"] <= share) & (f["token_entropy"] >= bits)
-    return good | (f["n_tokens"] < MIN_TOKENS)
-
-
 def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
     return (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
 
 
-def fit_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, special_as_text: bool = False) -> Bands:
-    """A band for each group (language, or script) and size class, from the quartiles of the documents that the base rules keep: of
-    all, or of about SAMPLE_DOCS whose hashed id is least. No documents: no bands."""
-    total = docs.count()
-    part = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total))))
+def _measures(texts: pa.Array, given: pa.Array, enc, fragment: np.ndarray) -> list[pa.Array]:
+    """The columns MEASURED of some texts. A text's group is what is given, such as its language, or else its main script."""
+    base, f = base_measures(texts), fertility(texts, enc, fragment)
+    script = pa.array([SCRIPTS[s] for s in f["script"]], pa.string())
+    group = pc.coalesce(given, script)
+    cols = [*(pa.array(base[k], pa.int64()) for k in BASE), pa.array(base_failed(base)), pa.array(f["n_tokens"], pa.int64())]
+    return [*cols, *(pa.array(f[k], pa.float64()) for k in MEASURES), script, group, pa.array(size_class(f["n_tokens"]), pa.int32())]
+
+
+def measured(docs: DataFrame, name: str, text_col: str, group_col: str | None, vocabulary: str | None, special_as_text: bool) -> DataFrame:
+    """docs with a struct column `name` of MEASURED; one pass, no shuffle."""
     path = vocabulary or default_vocabulary()
+    fields = [c.split()[0] for c in MEASURED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, special_as_text)
         fragment = _fragments(enc)
         for batch in batches:
-            for some in tx.blocks(batch, "text"):
-                some = some.filter(pa.array(~base_failed(base_measures(some.column(1)))))
-                if some.num_rows:
-                    f = fertility(some.column(1), enc, fragment)
-                    cols = [pa.array(groups_of(f, some.column(0)), pa.string()), pa.array(size_class(f["n_tokens"]), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array(f[k], pa.float64()) for k in MEASURES)], names=["group", "size", *MEASURES])
+            for part in tx.blocks(batch, text_col):
+                given = part.column(part.schema.get_field_index(group_col)).cast(pa.string()) if group_col else pa.nulls(part.num_rows, pa.string())
+                cols = _measures(part.column(part.schema.get_field_index(text_col)), given, enc, fragment)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(cols, fields)], names=[*part.schema.names, name])
 
-    src = part.select((F.col(group_col) if group_col else F.lit(None)).cast("string").alias("group"), F.col(text_col).cast("string").alias("text"))
-    rows = src.mapInArrow(run, "group string, size int, chars_per_token double, fallback_share double, token_entropy double").where("size > 0").collect()
-    found: dict[tuple[str, int], list] = {}
-    for r in rows:
-        found.setdefault((r["group"], r["size"]), []).append(r[2:])
-    return {k: _band(np.array(v)) for k, v in found.items() if len(v) >= LEAST}
+    kind = docs.sparkSession.createDataFrame([], MEASURED).schema
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))
 
 
-MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+def fit_bands(rows: DataFrame, name: str) -> Bands:
+    """A band for each group (language, or script) and size class, from the quartiles of all documents that the base rules keep;
+    rows as measured() gives them. Counts by cell are added up on the map side, and reach the driver: CELLS to a measure, group
+    and size at most. No documents: no bands."""
+    m = F.col(name)
+    cell = lambda x: F.least(F.floor(m[x] / F.lit(WIDTH)), F.lit(CELLS)).cast("long")
+    each = rows.where(~m["base_failed"] & (m["size"] > 0)).select(m["group"].alias("group"), m["size"].alias("size"), F.posexplode(F.array(*map(cell, MEASURES))).alias("measure", "cell"))
+    found: dict[tuple[str, int], list[list[tuple[int, int]]]] = {}
+    for r in each.groupBy("group", "size", "measure", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        found.setdefault((r["group"], r["size"]), [[], [], []])[r["measure"]].append((r["cell"], r["n"]))
+    return {k: _band(v) for k, v in found.items() if sum(n for _, n in v[0]) >= LEAST}
 
 
-def _band(x: np.ndarray) -> Band:
-    low, high = np.quantile(x, (0.25, 0.75), axis=0)
+def _band(cells: list[list[tuple[int, int]]]) -> Band:
+    low, high = np.array([_quartiles(c) for c in cells]).T
     reach = np.maximum(REACH * (high - low), [NARROWEST[m] for m in MEASURES])
     return Band(float(low[0] - reach[0]), float(high[0] + reach[0]), float(high[1] + reach[1]), float(low[2] - reach[2]))
 
 
+def _quartiles(cells: list[tuple[int, int]]) -> tuple[float, float]:
+    """The middles of the cells that hold a quarter and three quarters of the way."""
+    at, n = np.array(sorted(cells)).T
+    upto = np.cumsum(n)
+    return tuple((at[np.searchsorted(upto, q * upto[-1])] + 0.5) * WIDTH for q in (0.25, 0.75))
+
+
+def within(name: str, bands: Bands, spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows with a column `kept_`: whether the base rules pass them and their band holds them. Bands are a small table."""
+    table = [(g, k, *astuple(b)) for (g, k), b in bands.items()]
+    wide = [(s, *astuple(b)) for s, b in WIDE.items()]
+    own = spark.createDataFrame(table, "group_ string, size_ int, a_ double, b_ double, c_ double, d_ double")
+    other = spark.createDataFrame(wide, "script_ string, e_ double, f_ double, g_ double, h_ double")
+    m = F.col(name)
+    both = rows.join(F.broadcast(own), (m["group"] == F.col("group_")) & (m["size"] == F.col("size_")), "left").join(F.broadcast(other), m["script"] == F.col("script_"))
+    low, high, share, bits = (F.coalesce(x, y) for x, y in (("a_", "e_"), ("b_", "f_"), ("c_", "g_"), ("d_", "h_")))
+    good = (m["chars_per_token"] >= low) & (m["chars_per_token"] <= high) & (m["fallback_share"] <= share) & (m["token_entropy"] >= bits)
+    return both.withColumn("kept_", ~m["base_failed"] & (good | (m["n_tokens"] < MIN_TOKENS)))
+
+
 def _fragments(enc) -> np.ndarray:
     """Whether each id stands for bytes that are no whole characters."""
     out = np.zeros(len(enc.byte_lengths()), bool)
@@ -193,51 +218,33 @@ def _fragments(enc) -> np.ndarray:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, bands: Bands | None = None, special_as_text: bool = False) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_tokens, chars_per_token,
-    fallback_share, token_entropy, script) for every row of docs; no shuffle. Ids are numbers.
+    fallback_share, token_entropy, script) for every row of docs. Ids are numbers.
 
     base_failed: under 20 words, or over 30% of the words in 8-word windows that the text repeats. Otherwise a text
     is kept if its fertility lies within the band of its group and size: `bands`, or those that fit_bands finds in docs. Groups
     are those of group_col, such as a language, or the main script where that is null or not given. Texts of under MIN_TOKENS
     tokens are kept. Null or empty text has no words and fails. A null id is kept as it is, and repeated rows are judged
-    each. No rows: none. Other columns are ignored.
+    each. No rows: none. Other columns are ignored. Texts are read once; their measures are written to the shared folder.
     """
-    path, bands = vocabulary or default_vocabulary(), fit_bands(docs, id_col, text_col, group_col, vocabulary, special_as_text) if bands is None else bands
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, special_as_text)
-        fragment = _fragments(enc)
-        for batch in batches:
-            for part in tx.blocks(batch, "text"):
-                base, f = base_measures(part.column(2)), fertility(part.column(2), enc, fragment)
-                failed = base_failed(base)
-                cols = [part.column(0), *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(~failed & within_bands(f, bands, part.column(1)))]
-                cols += [pa.array(f["n_tokens"], pa.int64()), *(pa.array(f[k], pa.float64()) for k in MEASURES)]
-                cols.append(pa.array([SCRIPTS[s] for s in f["script"]], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = (
-        "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-        "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string"
-    )
-    names = [c.split()[0] for c in schema.split(", ")]
-    group = (F.col(group_col) if group_col else F.lit(None)).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), group.alias("group"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, bands: Bands | None = None, special_as_text: bool = False) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns; no shuffle and no join. Null and empty texts go,
-    repeated rows stay or go together, and null ids are kept as they are."""
-    path, bands = vocabulary or default_vocabulary(), fit_bands(docs, id_col, text_col, group_col, vocabulary, special_as_text) if bands is None else bands
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, special_as_text)
-        fragment = _fragments(enc)
-        for batch in batches:
-            for part in tx.blocks(batch, text_col):
-                part = part.filter(pa.array(~base_failed(base_measures(part.column(part.schema.get_field_index(text_col))))))
-                if part.num_rows:
-                    f = fertility(part.column(part.schema.get_field_index(text_col)), enc, fragment)
-                    given = part.column(part.schema.get_field_index(group_col)).cast(pa.string()) if group_col else None
-                    yield part.filter(pa.array(within_bands(f, bands, given)))
-
-    return docs.mapInArrow(run, docs.schema)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), (F.col(group_col) if group_col else F.lit(None)).cast("string").alias("group"), F.col(text_col).cast("string").alias("text"))
+    rows = measured(src, "m", "text", "group", vocabulary, special_as_text).select("id", "m")
+    if bands is None:
+        rows = cut(rows, "measures")
+        bands = fit_bands(rows, "m")
+    out = within("m", bands, docs.sparkSession, rows)
+    return out.select("id", *(F.col(f"m.{c}") for c in (*BASE, "base_failed")), F.col("kept_").alias("kept"), *(F.col(f"m.{c}") for c in ("n_tokens", *MEASURES, "script")))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", group_col: str | None = None, vocabulary: str | None = None, bands: Bands | None = None, special_as_text: bool = False) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns; no shuffle. Null and empty texts go,
+    repeated rows stay or go together, and null ids are kept as they are. Texts are read once; the rows that pass the base rules
+    are written to the shared folder with their measures until the bands are known."""
+    name = "m_"
+    while any(c.lower() == name for c in docs.columns):  # no name of docs' own
+        name += "_"
+    rows = measured(docs, name, text_col, group_col, vocabulary, special_as_text).where(~F.col(name)["base_failed"])
+    if bands is None:
+        rows = cut(rows, "measured")
+        bands = fit_bands(rows, name)
+    held = rows.select(F.struct(*docs.columns).alias("row_"), F.col(name).alias("m_"))
+    return within("m_", bands, docs.sparkSession, held).where("kept_").select("row_.*")
