@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.time import Batcher, Interval
 from ..sources.files import Files
@@ -50,7 +51,8 @@ class BatchedSink(Sink):
         names = [f.name for f in schema.fields]
         if not self.files.names(f"{self.path}/data"):
             return self.spark.createDataFrame([], schema)
-        held = self.spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in names else schema).parquet(f"{self.path}/data")
+        fields = [*schema.fields, *[StructField("batch_id", LongType())] * ("batch_id" not in names)]
+        held = self.spark.read.schema(StructType(fields)).parquet(f"{self.path}/data")
         batches = self.batcher.covered_by(wanted)
         return held.where(batches.condition()).select(*names)
 
