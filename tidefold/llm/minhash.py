@@ -141,8 +141,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     solid = marks.where("id is not null and n > 0")
     classes = cut(solid.groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands")).alias("r")).select("k1", "k2", "r.*"), "classes")
     rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # what is counted or chosen by bucket is written before rows are joined with it: such a join stands alone in its stage, and a
+    # hot bucket can be split there
+    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
     rows = cut(rows.join(sizes, "bucket"), "buckets")
+    drop(sizes)
 
     small = rows.where(F.col("members") <= SMALL).select("bucket", "id", "n")
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"))
@@ -150,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = small.join(other, "bucket").where((F.col("id") < F.col("b")) & alike).select(F.col("id").alias("a"), "b")
     large = rows.where(F.col("members") > SMALL)
     weight = large.groupBy("id").agg(F.sum("members").alias("weight"))
-    hubs = large.join(weight, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "id", "n")).alias("h"))
+    hubs = cut(large.join(weight, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "id", "n")).alias("h")), "hubs")
     stars = large.join(hubs, "bucket").select("id", "n", F.col("h.id").alias("b"), F.col("h.n").alias("nb")).where((F.col("id") != F.col("b")) & alike)
     pairs = pairs.unionByName(stars.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))).distinct()
 
@@ -160,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = components(links)
     held = large.join(found, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component"))
-    open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    open_ = cut(held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "open")
     rest = held.join(open_, "bucket").withColumn("of", F.ceil(F.col("members") / GROUP)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")))
     # blocks i <= j of one bucket meet in task (i, j)
     rest = rest.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
