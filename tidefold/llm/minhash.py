@@ -23,7 +23,7 @@ BANDS, PERMS_PER_BAND = 24, 2
 #: Buckets of at most so many texts are paired in full, larger ones through a hub first.
 SMALL = 8
 #: Texts of a large bucket compared in one task at most; more are dealt out as pairs of blocks.
-GROUP = 1500
+GROUP = 600
 _rng = np.random.Generator(np.random.PCG64(7))
 MULT = _rng.integers(0, 2**32, BANDS * PERMS_PER_BAND, dtype=np.uint32) | np.uint32(1)
 FLIP = _rng.integers(0, 2**32, BANDS * PERMS_PER_BAND, dtype=np.uint32)
