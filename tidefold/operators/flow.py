@@ -19,7 +19,7 @@ from ..functions.semigroup import Semigroup
 from ..functions.time import Batcher, to_ms
 from .run import Node, current, pick
 from .service import AsOfService, ClampedService, ReadableService, Service, StoreService, loop_join
-from .sink import Buffer, Sink
+from .sink import Buffer
 from .store import VersionedStore
 from .summing import sum_by_key, sum_by_key_record, sum_expanded_keys
 
