@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semigroup import Semigroup
-from ..operators.summing import deltas, join_same
+from ..operators.summing import join_same
 
 
 def read(
@@ -83,8 +83,5 @@ def merge(new: DataFrame, semigroup: Semigroup, offline: DataFrame | None, onlin
 def merge_into(store, df: DataFrame, epoch: int, writer: str = "client", offline: DataFrame | None = None) -> DataFrame:
     """Merge rows (ts_ms, seq, key, value) into an online store, and return (key, batch_id, prev, delta) with prev the whole
     total before each, offline and online. The same epoch again replaces what it wrote and returns the same."""
-    before = store.read(without=(writer, epoch))
-    new = deltas(df, store.batcher, store.semigroup).persist()
-    out = merge(new, store.semigroup, offline, before)
     store.add(df, epoch, writer)
-    return out
+    return merge(store.written(writer, epoch), store.semigroup, offline, store.read(without=(writer, epoch)))

@@ -34,9 +34,8 @@ class DeltaStore:
         if len(self._live()) > self.compact_every:
             self.compact()
         self.metrics.count(self.path, "add")
-        path = f"{self.path}/writer={writer}/epoch={epoch}"
-        deltas(df, self.batcher, self.semigroup, expand=expand).write.mode("overwrite").parquet(path)
-        new, s = self.spark.read.parquet(path), self.semigroup
+        deltas(df, self.batcher, self.semigroup, expand=expand).write.mode("overwrite").parquet(f"{self.path}/writer={writer}/epoch={epoch}")
+        new, s = self.written(writer, epoch), self.semigroup
         span = new.agg(F.min("batch_id"), F.max("batch_id")).first()
         old = self.read(without=(writer, epoch), span=tuple(span))
         if old is None:
@@ -47,6 +46,10 @@ class DeltaStore:
         out = out.select("key", "batch_id", "ts_ms", s.present(F.col("prev")).alias("prev"), s.present(F.col("delta")).alias("delta"))
         return out
 
+    def written(self, writer: str, epoch: int) -> DataFrame:
+        """(key, batch_id, ts_ms, delta) of one micro-batch."""
+        return self.spark.read.parquet(f"{self.path}/writer={writer}/epoch={epoch}")
+
     def merge(self, df: DataFrame, wanted: Interval, reducers: int | None = None, expand: Callable[[Column], Column] | None = None) -> DataFrame:
         """The batch form of add; a run over the same interval replaces it, or, once it is folded, changes nothing."""
         return self.add(df.where(wanted.condition()), 0, f"batch_{wanted.lower}_{wanted.upper}", expand)
