@@ -158,7 +158,7 @@ def test_fertility_matches_brute_force(spark, lib):
         assert r["token_entropy"] == pytest.approx(-sum(c / n * math.log2(c / n) for c in Counter(tokens).values()), abs=1e-9)
 
 
-def test_fitted_bands_reject_what_stands_out_and_little_else(spark):
+def test_fitted_bands_reject_what_stands_out_and_little_else(spark, monkeypatch):
     r = random.Random(4)
     common = [w for w in "the river and old house garden people talk evening light water stone bridge summer winter teacher letter window market village little great always never".split()]
     prose = [(k, " ".join(r.choice(common) for _ in range(150)) + ".") for k in range(400)]
@@ -174,6 +174,11 @@ def test_fitted_bands_reject_what_stands_out_and_little_else(spark):
     low, high = x[len(x) // 4], x[3 * len(x) // 4]
     assert bands["en", 2].entropy_low == pytest.approx(low - 3 * (high - low), abs=0.02)
     assert quality.fit_bands(measured(frame(spark, [])), "m") == {}
+    found = [quality.keep_good(docs, group_col="lang", bands=bands)]
+    assert "SortMergeJoin" not in found[0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(quality, "MOST_BANDS", 0)
+    found.append(quality.keep_good(docs, group_col="lang", bands=bands))
+    assert sorted(r["doc_id"] for r in found[0].collect()) == sorted(r["doc_id"] for r in found[1].collect())
     mixed = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     assert {g for g, _ in quality.fit_bands(measured(mixed), "m")} == {"en", "latin"}
     clashing = docs.withColumnRenamed("source", "m_").withColumnRenamed("n_chars", "group_").withColumnRenamed("score", "a_")

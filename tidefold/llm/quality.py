@@ -56,6 +56,8 @@ WIDE = {
     "other": Band(0.2, 8.0, 1.0, 2.5),
 }
 Bands = dict[tuple[str, int], Band]
+#: Bands that are broadcast at most, some 100 bytes each.
+MOST_BANDS = 1 << 14
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 #: Bands are found from counts by cells of this width; a measure over CELLS widths counts as that.
 WIDTH, CELLS = 1 / 1024, 1 << 16
@@ -191,13 +193,14 @@ def _quartiles(cells: list[tuple[int, int]]) -> tuple[float, float]:
 
 
 def within(name: str, bands: Bands, spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows with a column `kept_`: whether the base rules pass them and their band holds them. Spark broadcasts the
-    bands if their size, which it knows, allows."""
+    """rows with a column `kept_`: whether the base rules pass them and their band holds them. Up to MOST_BANDS
+    bands are broadcast; more are joined by shuffle, where a hot group can be split."""
     table = [(g, k, *astuple(b)) for (g, k), b in bands.items()]
     wide = [(s, *astuple(b)) for s, b in WIDE.items()]
     own = spark.createDataFrame(table, "group_ string, size_ int, a_ double, b_ double, c_ double, d_ double")
     other = spark.createDataFrame(wide, "script_ string, e_ double, f_ double, g_ double, h_ double")
     m = F.col(name)
+    own = F.broadcast(own) if len(bands) <= MOST_BANDS else own
     both = rows.join(own, (m["group"] == F.col("group_")) & (m["size"] == F.col("size_")), "left").join(F.broadcast(other), m["script"] == F.col("script_"))
     low, high, share, bits = (F.coalesce(x, y) for x, y in (("a_", "e_"), ("b_", "f_"), ("c_", "g_"), ("d_", "h_")))
     good = (m["chars_per_token"] >= low) & (m["chars_per_token"] <= high) & (m["fallback_share"] <= share) & (m["token_entropy"] >= bits)
